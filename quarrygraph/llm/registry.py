@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from quarrygraph.llm import op2_quality, op6_lines, op8_packing, op9_simhash
+from quarrygraph.llm import op2_quality, op6_lines, op7_warc, op8_packing, op9_simhash
 
 
 def queries() -> dict:
     return {
         "op2_quality": op2_quality.op2_quality,
         "op6_lines": op6_lines.op6_lines,
+        "op7_warc": op7_warc.op7_warc,
         "op8_packing": op8_packing.op8_packing,
         "op9_simhash": op9_simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": op2_quality.ORACLE, "op6_lines": op6_lines.ORACLE}
+    return {"op2_quality": op2_quality.ORACLE, "op6_lines": op6_lines.ORACLE, "op7_warc": op7_warc.ORACLE}
