@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrygraph.llm import op1_language, op2_quality, op3_neighbours, op4_factorisation, op6_lines, op7_warc, op8_packing, op9_simhash
+from quarrygraph.llm import op10_pieces, op1_language, op2_quality, op3_neighbours, op4_factorisation, op6_lines, op7_warc, op8_packing, op9_simhash
 
 
 def queries() -> dict:
     return {
+        "op10_pieces": op10_pieces.op10_pieces,
         "op1_language": op1_language.op1_language,
         "op2_quality": op2_quality.op2_quality,
         "op3_neighbours": op3_neighbours.op3_neighbours,
