@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrygraph.llm import op10_pieces, op1_language, op2_quality, op3_neighbours, op4_factorisation, op6_lines, op7_warc, op8_packing, op9_simhash
+from quarrygraph.llm import op10_pieces, op1_language, op2_quality, op3_neighbours, op4_factorisation, op5_suffixes, op6_lines, op7_warc, op8_packing, op9_simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_quality": op2_quality.op2_quality,
         "op3_neighbours": op3_neighbours.op3_neighbours,
         "op4_factorisation": op4_factorisation.op4_factorisation,
+        "op5_suffixes": op5_suffixes.op5_suffixes,
         "op6_lines": op6_lines.op6_lines,
         "op7_warc": op7_warc.op7_warc,
         "op8_packing": op8_packing.op8_packing,
