@@ -73,7 +73,7 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Lines as (tkey, host, h1, h2, chars, id-less) and the hashes (host, h1, h2) above the limits.
+    """Lines with their hashes, and the hashes (host, h1, h2) above the limits.
 
     Rows with the same text are one document, so copies of a page do not make its lines frequent.
     A null host is the host ''.

@@ -124,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Model of at most ``max_rows`` labelled rows where ``learn`` (over the id) holds; None without any."""
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn)
-    picked = known.groupBy(F.col(id_col).alias("pick")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(5), "pick"), "pick").limit(max_rows).collect()
+    picked = known.groupBy(F.col(id_col).alias("pick__")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(5), "pick__"), "pick__").limit(max_rows).collect()
     if not picked:
         return None
-    picks = spark.createDataFrame([(r["pick"], r["label"]) for r in picked], "pick bigint, label int")
+    picks = spark.createDataFrame([(r["pick__"], r["label"]) for r in picked], "pick__ bigint, label__ int")
 
     def featurise(batches):
         for batch in batches:
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary()), pa.array(list(stats))], names=["h", "label", "at", "x", "stats"])
 
     # the picks are at most max_rows ids
-    sample = docs.join(F.broadcast(picks), F.col(id_col) == F.col("pick")).select(F.xxhash64(F.lit(5), "pick").alias("h"), "label", F.col(text_col).alias("text"), F.col(chars_col).cast("long").alias("chars"))
+    sample = docs.join(F.broadcast(picks), F.col(id_col) == F.col("pick__")).select(F.xxhash64(F.lit(5), "pick__").alias("h"), F.col("label__").alias("label"), F.col(text_col).alias("text"), F.col(chars_col).cast("long").alias("chars"))
     found = sorted(sample.mapInArrow(featurise, "h bigint, label int, at binary, x binary, stats array<double>").limit(2 * max_rows).collect(), key=lambda r: (r["h"], r["at"]))
     if not found:
         return None

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import gather, persist, table, text_slices, utf8
+from quarrygraph.llm.common import gather, persist, small_batches, table, text_slices, utf8
 
 LENGTH, K = 50, 20
 _NULL_ID = np.iinfo(np.int64).max
@@ -309,7 +309,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int = 64) -> np.ndar
     at = np.arange(n)
     while step < 8:
         nxt = np.zeros(n, np.uint64)
-        nxt[: n - step] = key[step:]
+        nxt[: max(n - step, 0)] = key[step:]
         nxt[at + step >= ends] = 0
         key = (key << np.uint64(8 * step)) | nxt
         step *= 2
@@ -321,7 +321,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int = 64) -> np.ndar
         if step >= depth or not n or rank[order[-1]] == n - 1:
             return order
         nxt = np.zeros(n, np.int64)
-        nxt[: n - step] = rank[step:] + 1
+        nxt[: max(n - step, 0)] = rank[step:] + 1
         nxt[at + step >= ends] = 0
         key = rank * (n + 1) + nxt
         step *= 2
@@ -472,18 +472,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).withColumn("tkey", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    source = keyed.select("id", "tkey", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = docs.withColumn("id__", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).withColumn("tkey__", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    source = keyed.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packed = source.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(buckets, length, k), "bucket int, kind int, blob binary")
     verdicts = persist(packed.groupBy("bucket").applyInArrow(_judge, _VERDICT), "suffix-verdicts")
     lists = verdicts.groupBy("id", "tkey").agg(F.collect_list("settled").alias("settled__"), F.collect_list("open").alias("opens"))
-    lists = lists.select("id", "tkey", "settled__", F.when(F.size("opens") > 0, F.col("opens")).alias("open"))
+    lists = lists.select(F.col("id").alias("id__"), F.col("tkey").alias("tkey__"), "settled__", F.when(F.size("opens") > 0, F.col("opens")).alias("open__"))
     # One exchange of the texts serves both the contexts and the result.
-    known = keyed.join(lists.hint("shuffle_hash"), ["id", "tkey"], "left")
-    rows = known.select("id", "tkey", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "open").mapInArrow(_context_rows(buckets, length, k), "bucket int, kind int, blob binary")
+    known = keyed.join(lists.hint("shuffle_hash"), ["id__", "tkey__"], "left")
+    rows = known.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("open__").alias("open")).mapInArrow(_context_rows(buckets, length, k), "bucket int, kind int, blob binary")
     windows = rows.groupBy("bucket").applyInArrow(_compare(length, k), "id bigint, tkey bigint, windows binary")
-    windows = windows.groupBy("id", "tkey").agg(F.collect_list("windows").alias("windows__"))
-    return known.drop("open").join(windows.hint("shuffle_hash"), ["id", "tkey"], "left").drop("id", "tkey")
+    windows = windows.groupBy(F.col("id").alias("id__"), F.col("tkey").alias("tkey__")).agg(F.collect_list("windows").alias("windows__"))
+    return known.drop("open__").join(windows.hint("shuffle_hash"), ["id__", "tkey__"], "left").drop("id__", "tkey__")
 
 
 def cut(text: str | None, settled: list[bytes] | None, windows: list[bytes] | None, length: int = LENGTH, k: int = K) -> tuple[bytes, int, int, int]:
@@ -512,6 +512,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each text by what is left of it; a cut inside a character drops that character's rest. A
     document left without any word goes."""
+    small_batches(spark)
     cols = docs.columns
 
     def run(batches):

@@ -201,7 +201,7 @@ class WarcReader(DataSourceReader):
                 held = 0
             runs[-1].append(name)
             held += size
-        return [WarcPartition(r) for r in runs]
+        return [WarcPartition(r) for r in runs or [[]]]
 
     def wanted(self, headers: dict[str, str]) -> bool:
         for kind, name, value in self.tests:
