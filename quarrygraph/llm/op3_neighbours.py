@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import table
@@ -151,40 +151,40 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def rank_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's ``top`` best of one block; ties go to smaller ids."""
+def rank_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int, cells: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best of each query, ids, scores): the ``top`` best of one block, query by query; ties go to smaller ids."""
     order = np.lexsort((*x.T[::-1], ids))
     ids, x = ids[order], x[order]
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)
     ids, x = ids[fresh], x[fresh]
-    out: list[tuple] = []
+    counts, found, scores = [], [], []
+    step = max(1, cells // len(ids))
+    k = min(top, len(ids))
     for at in range(0, len(q), step):
         rough = q[at : at + step] @ x.T
         rough[q_ids[at : at + step, None] == ids[None, :]] = -np.inf
-        k = min(top, len(ids))
         least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
         for i, low in enumerate(least):
             # near the last place all are compared again, in an order of sums that no position changes
             near = np.flatnonzero(rough[i] >= max(low - 1e-9 * max(1.0, abs(low)), -1e300))
             score = (x[near] * q[at + i]).sum(1)
             best = np.lexsort((ids[near], -score))[:top]
-            out.append((np.full(len(best), q_ids[at + i]), ids[near[best]], score[best]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
+            counts.append(len(best))
+            found.append(ids[near[best]])
+            scores.append(score[best])
+    return np.array(counts), np.concatenate(found), np.concatenate(scores)
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, fit_rows: int = 6000, part_rows: int = 1500, max_parts: int = 256, block: int = 4096, target: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, fit_rows: int = 6000, part_rows: int = 3000, max_parts: int = 64, block: int = 32768, target: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for each row where ``is_query`` (over ``id``) holds.
 
     Rows that ``usable`` leaves out take no part. A query's own id is no candidate. A row repeated whole
-    counts once; an id with several vectors is listed once, with its best score. Extra columns are ignored.
+    counts once, as a query too; an id with several vectors is listed once, with its best score. Extra columns are ignored.
     The driver receives at most ``fit_rows`` vectors and ``max_parts`` counts.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    schema = "query_id bigint, vec_id bigint, score double"
     n = rows.count()
     sample = rows.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(fit_rows).collect()
     x = np.array([r["v"] for r in sample]) if sample else np.zeros((0, 1))
@@ -203,18 +203,29 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     sizes = [(r["part"], -(-r["count"] // block)) for r in held.groupBy("part").count().collect()]
     cuts = F.broadcast(spark.createDataFrame(sizes or [(-1, 1)], "part int, cuts int"))  # one row a part
     held = held.join(cuts, "part").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).select("part", "cut", "id", "v")
-    asked = placed.filter(is_query).select("id", "v", F.explode("parts").alias("part")).join(cuts, "part")
+    asked = placed.filter(is_query).dropDuplicates(["id"]).select("id", "v", F.explode("parts").alias("part")).join(cuts, "part")
     asked = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     asked = asked.select(F.col("part").alias("q_part"), F.col("cut").alias("q_cut"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = rank_block(left.column("q_id").to_numpy(), _matrix(left.column("q_v")), right.column("id").to_numpy(), _matrix(right.column("v")), top) if len(left) and len(right) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+    kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
 
-    found = asked.groupBy("q_part", "q_cut").cogroup(held.groupBy("part", "cut")).applyInArrow(compare, schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One row a query with its best of the block, so blocks do not multiply rows."""
+        if not len(left) or not len(right):
+            return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], kind)})
+        counts, ids, scores = rank_block(left.column("q_id").to_numpy(), _matrix(left.column("q_v")), right.column("id").to_numpy(), _matrix(right.column("v")), top)
+        values = pa.StructArray.from_arrays([pa.array(-scores), pa.array(ids)], names=["minus", "vec_id"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        return pa.table({"query_id": left.column("q_id"), "found": pa.ListArray.from_arrays(ends, values)})
+
+    found = asked.groupBy("q_part", "q_cut").cogroup(held.groupBy("part", "cut")).applyInArrow(compare, "query_id bigint, found array<struct<minus:double,vec_id:bigint>>")
+    found = found.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    ids = F.transform("found", lambda x: x["vec_id"])
+    # only an id with several vectors can stand twice
+    once = F.filter("found", lambda x, i: F.array_position(ids, x["vec_id"]) == i + 1)
+    best = F.slice(F.when(F.size(F.array_distinct(ids)) < F.size("found"), once).otherwise(F.col("found")), 1, top)
+    out = found.select("query_id", F.posexplode(best).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
