@@ -28,6 +28,11 @@ def _top(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("top"))
 
 
+def _settled(g: Graph) -> Graph:
+    """The graph with every table written once, so later steps do not plan earlier ones again."""
+    return g.having(**{k: materialise(v.coalesce(max(1, v.sparkSession.sparkContext.defaultParallelism)), k) for k, v in g.tables.items() if k not in ("conventions", "semantic_tags", "rendered_cache")})
+
+
 def reindex(g: Graph, repos: DataFrame, scanned: DataFrame, catalog: DataFrame | None = None, infer: bool = True) -> tuple[Graph, DataFrame]:
     """The graph after the files (repo, path, text, checksum, and dialect if known) replaced what was stored of
     the same repos, and (repo, path, errors, dropped_usage) of the parsed files.
@@ -35,12 +40,14 @@ def reindex(g: Graph, repos: DataFrame, scanned: DataFrame, catalog: DataFrame |
     Only added and changed files are parsed; templates are recorded but not parsed. Files that are gone are
     deleted, nodes that others still use stay as phantoms and meet their definitions again afterwards.
     """
-    g = upsert_repos(g, repos)
+    g = _settled(upsert_repos(g, repos))
     named = g.repos.select("repo_id", F.col("name").alias("repo"))
     stored = g.files.join(named, "repo_id").join(repos.select(F.col("name").alias("repo")), "repo", "left_semi")
     diff = materialise(incremental_diff(stored, scanned), "diff")
     stale = stored.join(diff.filter("change <> 'added'"), ["repo", "path"], "left_semi").select("file_id")
-    g = delete_files(g, materialise(stale, "stale"))
+    stale = materialise(stale, "stale")
+    if not stale.isEmpty():
+        g = _settled(delete_files(g, stale))
     new = scanned.join(diff.filter("change <> 'deleted'"), ["repo", "path"], "left_semi").join(named, "repo")
     files = _numbered(new.select("repo", "repo_id", "path", "checksum"), "file_id", _top(g.files, "file_id"), "repo", "path").withColumn("language", F.lit("sql"))
     files = materialise(files, "files")
@@ -48,8 +55,9 @@ def reindex(g: Graph, repos: DataFrame, scanned: DataFrame, catalog: DataFrame |
     parsed = materialise(parsed.join(files.select("repo", "path", "repo_id", "file_id"), ["repo", "path"]), "parsed")
     g = g.having(files=g.files.unionByName(files.select("file_id", "repo_id", "path", "language", "checksum"), allowMissingColumns=True))
     g, dropped = insert_parsed(g, parsed)
-    g = merge_duplicate_nodes(cleanup_phantoms(g))
-    g = g.having(**{k: materialise(v, k) for k, v in g.tables.items() if k in ("nodes", "edges", "columns", "column_usage", "column_lineage", "files", "repos")})
+    dropped = materialise(dropped, "dropped")
+    g = _settled(cleanup_phantoms(_settled(g)))
+    g = _settled(merge_duplicate_nodes(g))
     if infer:
         from quarrygraph.operators.conventions import infer_conventions, merge_conventions
         from quarrygraph.operators.similarity import infer_tags
