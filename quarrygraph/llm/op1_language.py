@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import table, text_slices, utf8
+from quarrygraph.llm.common import small_batches, table, text_slices, tidy, utf8
 
 BITS = 16
+#: Bytes of text whose n-grams a worker holds at a time; they take some 150 times as much.
+_SLICE = 1 << 19
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UNKNOWN = "und"
 
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     The driver receives at most 2**16 document frequencies, ``max_langs`` languages (the most frequent)
     and ``per_lang`` rows of n-gram counts a language.
     """
-    rows = docs.filter(learn & F.col(lang_col).isNotNull())
+    rows = docs.filter(learn & F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.col(lang_col))
     langs = sorted(r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect())
     if not langs:
         return {"langs": []}
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     def frequencies(batches):
         seen, total = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", _SLICE):
                 for got in counts(piece.column(0)):
                     if got is not None:
                         seen[got[0]] += 1
@@ -151,27 +153,27 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], names=["bucket", "n"])
 
-    df = rows.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = rows.select(F.col(text_col).alias("text")).mapInArrow(tidy(frequencies), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = int(df.loc[df.bucket < 0, "n"].sum())
     held = np.zeros(1 << BITS)
     held[df.bucket[df.bucket >= 0]] = df.n[df.bucket >= 0]
     idf = np.log((1 + total) / (1 + held)) + 0.1
 
     order = F.xxhash64(F.lit(7), F.col(id_col))
-    ranked = rows.filter(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("pick"), F.col(lang_col).alias("of"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64(F.lit(7), F.col("pick")), "pick"))).filter(F.col("r") <= per_lang)
-    picks = docs.sparkSession.createDataFrame(sorted({(r["pick"],) for r in ranked.filter("pick IS NOT NULL").select("pick").collect()}) or [(None,)], "pick bigint")
+    ranked = rows.filter(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("pick__"), F.col(lang_col).alias("of"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64(F.lit(7), F.col("pick__")), "pick__"))).filter(F.col("r") <= per_lang)
+    picks = docs.sparkSession.createDataFrame(sorted({(r["pick__"],) for r in ranked.filter("pick__ IS NOT NULL").select("pick__").collect()}) or [(None,)], "pick__ bigint")
     # at most per_lang * max_langs ids
-    sample = rows.join(F.broadcast(picks), F.col(id_col) == F.col("pick"), "left_semi").filter(F.col(lang_col).isin(langs))
+    sample = rows.join(F.broadcast(picks), F.col(id_col) == F.col("pick__"), "left_semi").filter(F.col(lang_col).isin(langs))
 
     def featurise(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", _SLICE):
                 got = [(k, x) for k, x in enumerate(counts(piece.column(2))) if x is not None]
                 take = pa.array([k for k, _ in got], pa.int32())
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), pa.array([x[0].astype("<u2").tobytes() for _, x in got], pa.binary()), pa.array([x[1].astype("<u4").tobytes() for _, x in got], pa.binary())], names=["h", "lang", "at", "n"])
 
-    found = sample.select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(featurise, "h bigint, lang string, at binary, n binary").limit(per_lang * len(langs)).collect()
+    found = sample.select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(featurise), "h bigint, lang string, at binary, n binary").limit(per_lang * len(langs)).collect()
     index = {k: i for i, k in enumerate(langs)}
     data = []
     for r in sorted(found, key=lambda r: (r["h"], r["lang"])):
@@ -183,28 +185,32 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return {"langs": langs, "idf": idf, "weights": weights, "temperature": fit_temperature(logits, np.array([y for *_, y in aside], int))}
 
 
-def predict(docs: DataFrame, model: dict, columns: list[Column], text_col: str = "text") -> DataFrame:
-    """``columns`` with ``lang_pred`` and ``score``; without a letter, or without any learned language, ``und`` and 0."""
+def predict(docs: DataFrame, model: dict, columns: list[Column], text_col: str = "text", made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` with the predicted language and its probability as ``made``; without a letter, or without any
+    learned language, ``und`` and 0."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2**16 rows, max_langs columns at most
-    source = docs.select(*columns, F.col(text_col).alias("text__"))
-    names = source.columns[:-1]
+    source = docs.select(*columns)
+    names = source.columns
+    at = names.index(text_col) if text_col in names else len(names)
+    if at == len(names):
+        source = docs.select(*columns, F.col(text_col))
 
     def run(batches):
         m = sent.value
         langs = m["langs"]
         for batch in batches:
-            for piece in text_slices(batch, "text__"):
+            for piece in text_slices(batch, text_col, _SLICE):
                 pred, score = [UNKNOWN] * piece.num_rows, np.zeros(piece.num_rows)
-                for k, got in enumerate(counts(piece.column(len(names)))) if langs else ():
+                for k, got in enumerate(counts(piece.column(at))) if langs else ():
                     if got is not None:
                         p = _softmax(_weigh(*got, m["idf"]) @ m["weights"][got[0]] / m["temperature"])
                         best = int(p.argmax())
                         pred[k], score[k] = langs[best], p[best]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, *made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
+    return source.mapInArrow(tidy(run), f"{schema}, {made[0]} string, {made[1]} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -220,5 +226,6 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
     """Rejects documents without a letter and those whose calibrated probability is below ``min_score``."""
-    judged = predict(docs, fit(docs, ~held_out()), [F.col(c) for c in docs.columns])
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    small_batches(spark)
+    judged = predict(docs, fit(docs, ~held_out()), [F.col(c) for c in docs.columns], made=("lang__", "score__"))
+    return judged.filter((F.col("lang__") != UNKNOWN) & (F.col("score__") >= min_score)).drop("lang__", "score__")

@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import gather, persist, small_batches, table, text_slices, utf8
+from quarrygraph.llm.common import gather, give_back, persist, small_batches, table, text_slices, tidy, utf8
 
 LENGTH, K = 50, 20
 _NULL_ID = np.iinfo(np.int64).max
-_FLUSH = 2_000_000
-_BLOCK = 1 << 20
+_FLUSH = 1_000_000
+_BLOCK = 1 << 19
 _SHARD = 1 << 18
-_MERGE = 6 << 20
+_MERGE = 3 << 20
 _A = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M5 = np.uint64((1 << 40) - 1)
 
@@ -199,7 +199,7 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
             yield _blob_rows(buckets, kinds, blobs)
 
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", 1 << 20):
                 data, offsets = utf8(piece.column(2))
                 p, m, c = anchors(data, offsets, length, k)
                 doc = np.searchsorted(offsets, p, side="right") - 1
@@ -258,7 +258,10 @@ def _judge(group: pa.Table) -> pa.Table:
         rest = ~sure & (several & differ)[group_of]
         out.append((*_by_document(ids, tkeys, doc[order[sure]], pos[order[sure]]), True))
         out.append((*_by_document(ids, tkeys, doc[order[rest]], pos[order[rest]]), False))
-    return _verdicts(out)
+    found = _verdicts(out)
+    del parts, out
+    give_back()
+    return found
 
 
 def _context_rows(n_buckets: int, length: int, k: int):
@@ -445,6 +448,8 @@ def _compare(length: int, k: int):
         ids, tkeys, doc, pos, left, sizes, data = (np.concatenate([p[j] for p in parts]) for j in range(7))
         context, offset = repeated_places(data, sizes, left, ids[doc], length, k)
         got = _by_document(ids, tkeys, doc[context], pos[context] - left[context] + offset)
+        del parts, data
+        give_back()
         return pa.table({"id": pa.array(got[0], pa.int64()), "tkey": pa.array(got[1], pa.int64()), "windows": pa.array(got[2], pa.binary())})
 
     return run
@@ -474,13 +479,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("id__", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).withColumn("tkey__", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     source = keyed.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = source.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(buckets, length, k), "bucket int, kind int, blob binary")
+    packed = source.filter(F.octet_length("text") >= length).mapInArrow(tidy(_anchor_rows(buckets, length, k)), "bucket int, kind int, blob binary")
     verdicts = persist(packed.groupBy("bucket").applyInArrow(_judge, _VERDICT), "suffix-verdicts")
     lists = verdicts.groupBy("id", "tkey").agg(F.collect_list("settled").alias("settled__"), F.collect_list("open").alias("opens"))
     lists = lists.select(F.col("id").alias("id__"), F.col("tkey").alias("tkey__"), "settled__", F.when(F.size("opens") > 0, F.col("opens")).alias("open__"))
     # One exchange of the texts serves both the contexts and the result.
     known = keyed.join(lists.hint("shuffle_hash"), ["id__", "tkey__"], "left")
-    rows = known.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("open__").alias("open")).mapInArrow(_context_rows(buckets, length, k), "bucket int, kind int, blob binary")
+    rows = known.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("open__").alias("open")).mapInArrow(tidy(_context_rows(buckets, length, k)), "bucket int, kind int, blob binary")
     windows = rows.groupBy("bucket").applyInArrow(_compare(length, k), "id bigint, tkey bigint, windows binary")
     windows = windows.groupBy(F.col("id").alias("id__"), F.col("tkey").alias("tkey__")).agg(F.collect_list("windows").alias("windows__"))
     return known.drop("open__").join(windows.hint("shuffle_hash"), ["id__", "tkey__"], "left").drop("id__", "tkey__")
@@ -506,7 +511,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept, n, gone, spans = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_spans(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return repeated_spans(docs).mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -521,5 +526,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             full = pa.array([bool(t.split()) for t in texts], pa.bool_())
             yield batch.select(cols).set_column(cols.index("text"), "text", pa.array(texts, pa.string())).filter(full)
 
-    kept = repeated_spans(docs).mapInArrow(run, docs.schema)
+    kept = repeated_spans(docs).mapInArrow(tidy(run), docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

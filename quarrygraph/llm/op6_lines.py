@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import SPACES, persist, table, text_key
+from quarrygraph.llm.common import SPACES, persist, small_batches, table, text_key, tidy
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NULL_ID = np.iinfo(np.int64).max
@@ -96,7 +96,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["h1", "h2", "id"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "tkey", "pos")
-    found = persist(ranged.mapInArrow(_stream, _OUT), "lines")
+    found = persist(ranged.mapInArrow(tidy(_stream), _OUT), "lines")
 
     # One row per partition: the open hash at its end says which first hashes go on.
     edges = sorted(found.filter("kind = 'edge'").select("part", "h1", "h2", "last1", "last2", "last_id").collect())
@@ -147,7 +147,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             dropped = batch.column("dropped__").fill_null(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), dropped, pa.array(hashes)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(tidy(run), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 ORACLE = r"""
@@ -164,6 +164,7 @@ FROM v GROUP BY doc_id
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each text by its kept lines; a document left without any text goes."""
+    small_batches(spark)
     cols = docs.columns
 
     def run(batches):
@@ -171,5 +172,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py(), k.as_py()) for t, k in zip(batch.column("text"), batch.column("keep__"))]
             yield batch.select(cols).set_column(cols.index("text"), "text", pa.array(texts, pa.string()))
 
-    kept = with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(run, docs.schema)
+    kept = with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(tidy(run), docs.schema)
     return kept.filter(F.length(F.trim("text", F.lit(SPACES))) > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

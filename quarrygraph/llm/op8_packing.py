@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import default_tokenizer, gather, table, text_slices, utf8, words
+from quarrygraph.llm.common import default_tokenizer, gather, small_batches, table, text_slices, tidy, utf8, words
 
 CAPACITY = 4096
 END_ID = 2
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             kind = batch.column(0).type
-            for piece in text_slices(batch, "text__"):
+            for piece in text_slices(batch, "text__", 2 << 20):
                 ids, ends = code.encode(piece.column(1))
                 out: list = []
                 for k, doc in enumerate(piece.column(0).to_pylist()):
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text__"))
-    return source.mapInArrow(run, f"`{id_col}` {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -223,4 +223,6 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left; the rows are those of the query."""
+    small_batches(spark)
     return _packed(docs)

@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import persist, table
+from quarrygraph.llm.common import persist, small_batches, table, tidy
 from quarrygraph.llm.components import connected_components
 
 _BITS = 64
-_STEP = 1 << 18
+_STEP = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, fp bigint")
 
 
 class Forest:
@@ -152,7 +152,7 @@ def links(distinct: DataFrame, radius: int = 4, max_tile: int = 8192) -> DataFra
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -179,6 +179,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one whose id names the component."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    small_batches(spark)
+    named = persist(near_duplicates(docs), "near-duplicates")
+    own = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = own.select("doc_id")
+    repeated = not own.filter("rows > 1").isEmpty()
     one = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    return one.dropDuplicates(["doc_id"]) if repeated else one
