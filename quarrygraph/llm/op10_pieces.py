@@ -98,7 +98,6 @@ class DoubleArray:
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         free = np.ones(size, bool)
         free[0] = False
-        check[0] = 0
         place = [0] * len(children)
         value[0] = leaf[0]
         start, todo = 1, [0]
