@@ -78,13 +78,14 @@ def structural_diff(base: Graph, head: Graph, what: str = "nodes") -> DataFrame:
 
 def nodes_modified(base: Graph, head: Graph) -> DataFrame:
     """Names of nodes in both snapshots whose outgoing edges, column uses or metadata differ."""
-    both = node_keys(base).join(node_keys(head), ["name", "kind", "schema"], "left_semi").select("name").distinct()
+    shared = node_keys(base).join(node_keys(head), ["name", "kind", "schema"], "left_semi")
     edges = structural_diff(base, head, "edges").select(F.col("src_name").alias("name"))
     columns = structural_diff(base, head, "columns").select(F.col("node_name").alias("name"))
-    keys = lambda g: g.nodes.select("name", "kind", F.coalesce("metadata", F.lit("")).alias("metadata")).distinct()
+    keys = lambda g: g.nodes.select("name", "kind", F.coalesce("schema", F.lit("")).alias("schema"), F.coalesce("metadata", F.lit("")).alias("metadata")).distinct()
     b, h = keys(base), keys(head)
-    meta = h.join(b, h.columns, "left_anti").unionByName(b.join(h, b.columns, "left_anti")).select("name")
-    return both.join(edges.unionByName(columns).unionByName(meta).distinct(), "name", "left_semi")
+    meta = h.join(b, h.columns, "left_anti").unionByName(b.join(h, b.columns, "left_anti"))
+    meta = meta.join(shared, ["name", "kind", "schema"], "left_semi").select("name")
+    return shared.select("name").distinct().join(edges.unionByName(columns).unionByName(meta).distinct(), "name", "left_semi")
 
 
 def changed_names(base: Graph, head: Graph, limit: int = 20) -> DataFrame:
