@@ -43,6 +43,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def hundredths(value: Column) -> Column:
+    """Two decimals, ties to even, of the binary value rather than of its shortest decimal form."""
+    return F.rint(value * 100) / 100
+
+
 def column_style(name: str) -> Column:
     """snake_case, camelCase, PascalCase or SCREAMING_SNAKE; null for names that show no style."""
     c = F.col(name)

@@ -10,7 +10,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.predicates import column_style
+from quarrygraph.functions.predicates import column_style, hundredths
 from quarrygraph.graph import Graph
 from quarrygraph.runtime import materialise
 
@@ -84,7 +84,7 @@ def naming_patterns(members: DataFrame) -> DataFrame:
     confidence = F.when(F.col("prefix").isNotNull(), share).otherwise(share * 0.7)
     confidence = F.when(F.col("total") < 5, F.least(confidence, F.lit(0.6))).otherwise(confidence)
     pattern = F.concat(F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("_"))).otherwise(""), F.coalesce("labels", F.lit("{description}")))
-    return out.select(*LAYER, pattern.alias("pattern"), F.bround(confidence, 2).alias("confidence"), "matching_count", F.col("total").alias("total_count"))
+    return out.select(*LAYER, pattern.alias("pattern"), hundredths(confidence).alias("confidence"), "matching_count", F.col("total").alias("total_count"))
 
 
 def reference_rules(g: Graph, members: DataFrame | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def reference_rules(g: Graph, members: DataFrame | None = None) -> DataFrame:
     e = e.join(of.select("repo_id", F.col("name").alias("tgt_name"), F.col("layer").alias("target_layer")), ["repo_id", "tgt_name"]).filter("source_layer <> target_layer")
     counts = e.groupBy("repo_id", "source_layer", "target_layer").agg(F.count("*").alias("n"))
     all_ = Window.partitionBy("repo_id", "source_layer")
-    share = F.bround(F.col("n") / F.sum("n").over(all_), 2)
+    share = hundredths(F.col("n") / F.sum("n").over(all_))
     rows = counts.withColumn("share", share)
     return rows.select("repo_id", "source_layer", "target_layer", "share", (F.col("share") >= 0.1).alias("allowed"), F.max("share").over(all_).alias("confidence"))
 
@@ -126,7 +126,7 @@ def required_columns(g: Graph, members: DataFrame | None = None, threshold: floa
     share = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)) / F.col("model_count"), F.lit(1.0))
     kept = both.withColumn("f", F.greatest(share("d"), share("u"))).filter(F.col("f") >= threshold)
     source = F.when(F.col("d").isNotNull() & F.col("u").isNotNull(), "both").when(F.col("d").isNotNull(), "definition").otherwise("usage")
-    kept = kept.select(*key, F.bround("f", 2).alias("frequency"), source.alias("source"))
+    kept = kept.select(*key, hundredths(F.col("f")).alias("frequency"), source.alias("source"))
     has = nodes.join(g.columns.select("node_id", "column_name"), "node_id").select(*key, "name").unionByName(used.select(*key, "name")).distinct()
     missing = kept.select(*key).join(members.select(*LAYER, "name"), LAYER).join(has, [*key, "name"], "left_anti")
     missing = missing.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missing"))
@@ -146,7 +146,7 @@ def column_styles(g: Graph, members: DataFrame | None = None) -> DataFrame:
     counts = names.filter("style IS NOT NULL").groupBy(*LAYER, "style").count()
     best = Window.partitionBy(*LAYER).orderBy(F.desc("count"), order)
     top = counts.withColumn("r", F.row_number().over(best)).withColumn("all", F.sum("count").over(Window.partitionBy(*LAYER))).filter("r = 1")
-    top = top.select(*LAYER, "style", F.bround(F.col("count") / F.col("all"), 2).alias("confidence"))
+    top = top.select(*LAYER, "style", hundredths(F.col("count") / F.col("all")).alias("confidence"))
     layers = _real_layers(members).select(*LAYER)
     return layers.join(top, LAYER, "left").select(*LAYER, F.coalesce("style", F.lit("snake_case")).alias("style"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 

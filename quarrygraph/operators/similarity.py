@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.predicates import jaccard, layer_of, strip_layer_prefix
+from quarrygraph.functions.predicates import hundredths, jaccard, layer_of, strip_layer_prefix
 from quarrygraph.graph import Graph
 
 EXTEND_FROM, KEEP_FROM = 0.8, 0.05
@@ -199,7 +199,7 @@ def infer_tags(g: Graph, threshold: float = 0.5, stored: DataFrame | None = None
     rows = tagged.join(mean, "node_id", "left").join(said, "node_id", "left")
     base = F.greatest(F.lit(0.6), F.least(F.lit(0.85), 0.6 + (F.coalesce("mean", F.lit(0.0)) - 0.5) * 0.5))
     named = F.when(F.lower(strip_layer_prefix(F.col("name"))).contains(F.col("tag_name")), 0.1).otherwise(0.0)
-    confidence = F.bround(F.least(base + named + F.coalesce("said", F.lit(0.0)), F.lit(1.0)), 2)
+    confidence = hundredths(F.least(base + named + F.coalesce("said", F.lit(0.0)), F.lit(1.0)))
     new = rows.select("repo_id", "tag_name", "node_id", confidence.alias("confidence"), F.lit("inferred").alias("source"))
     if stored is None:
         return new
