@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,38 +135,78 @@ def similar_pairs(refs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def _merge(sets: list[set], threshold: float) -> list[list[int]]:
-    """Merges the most similar pair of unions, the first of equals, until none reaches the threshold."""
-    members: dict[int, list[int]] = {i: [i] for i in range(len(sets))}
-    union = {i: set(s) for i, s in enumerate(sets)}
-    n = len(sets)
-    sim = np.full((n, n), -1.0)
-
-    def fill(i: int) -> None:
-        for j in members:
+    """Merges the most similar pair of unions, the first of equals, until none reaches the threshold.
+
+    Each union keeps its best later partner in a heap, an upper bound once a partner has changed. Partners are
+    found by an inverted list of references, so memory grows with the references, not with the pairs."""
+    if threshold <= 0:  # any two unions reach it
+        return [list(range(len(sets)))] if len(sets) > 1 else []
+    first: dict[frozenset, int] = {}
+    members: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):  # equal sets are the most similar of all, and merging them changes no union
+        members.setdefault(first.setdefault(frozenset(s), i) if s else i, []).append(i)
+    union = {i: set(s) for s, i in first.items()}
+    holders: dict[int, set[int]] = {}
+    for i, s in union.items():
+        for r in s:
+            holders.setdefault(r, set()).add(i)
+    version = dict.fromkeys(union, 0)
+    best: dict[int, tuple] = {}
+    heap: list[tuple] = []
+
+    def similar(i: int):
+        both = Counter(j for r in union[i] for j in holders[r])
+        for j, n in both.items():
             if j != i:
-                a, b = min(i, j), max(i, j)
-                either = len(union[a] | union[b])
-                sim[a, b] = len(union[a] & union[b]) / either if either else 0.0
-
-    for i in range(n):
-        fill(i)
-    while len(members) > 1:
-        i, j = divmod(int(sim.argmax()), n)
-        if sim[i, j] < threshold:
-            break
+                s = n / (len(union[i]) + len(union[j]) - n)
+                if s >= threshold:
+                    yield s, j
+
+    def offer(i: int, found: tuple | None) -> None:
+        if found is None:
+            best.pop(i, None)
+        else:
+            best[i] = found
+            heapq.heappush(heap, found)
+
+    def entry(s: float, i: int, j: int) -> tuple:
+        return -s, i, j, version[i], version[j]
+
+    for i in union:
+        offer(i, min((entry(s, i, j) for s, j in similar(i) if j > i), default=None))
+    while heap:
+        top = heapq.heappop(heap)
+        _, i, j, vi, vj = top
+        if i not in union or best.get(i) != top:
+            continue
+        if version.get(j) != vj or version[i] != vi:
+            offer(i, min((entry(s, i, x) for s, x in similar(i) if x > i), default=None))
+            continue
         members[i] += members.pop(j)
+        for r in union[j]:
+            holders[r].discard(j)
+            holders[r].add(i)
         union[i] |= union.pop(j)
-        sim[j, :] = sim[:, j] = -1.0
-        fill(i)
+        del version[j]
+        best.pop(j, None)
+        version[i] += 1
+        own = None
+        for s, x in similar(i):
+            new = entry(s, min(i, x), max(i, x))
+            if x > i:
+                own = new if own is None else min(own, new)
+            elif x not in best or new < best[x]:
+                offer(x, new)
+        offer(i, own)
     return [m for m in members.values() if len(m) > 1]
 
 
-def semantic_clusters(g: Graph, threshold: float = 0.5, most: int = 500) -> DataFrame:
+def semantic_clusters(g: Graph, threshold: float = 0.5) -> DataFrame:
     """(repo_id, cluster, node_id, name, refs): agglomerative clusters within each repo. Repos with fewer than
-    five or more than ``most`` models with references have none; one repo is one group of at most ``most`` rows."""
+    five models with references have none; one repo is one group, since its merges follow each other."""
     refs = model_references(g)
     size = Window.partitionBy("repo_id")
-    fit = refs.withColumn("n", F.count("*").over(size)).filter(F.col("n").between(5, most)).drop("n")
+    fit = refs.withColumn("n", F.count("*").over(size)).filter("n >= 5").drop("n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", ignore_index=True)

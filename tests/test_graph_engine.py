@@ -297,3 +297,31 @@ def test_snippets(spark):
     files = spark.createDataFrame([("r", "f.sql", "\n".join(f"l{k}" for k in range(1, 9)))], "repo string, path string, text string")
     spans = spark.createDataFrame([("r", "f.sql", 4, 5)], "repo string, path string, line_start bigint, line_end bigint")
     assert catalog.snippets(files, spans, context=1).first()["snippet"] == "   3 | l3\n   4 | l4\n   5 | l5\n   6 | l6"
+
+
+def naive_merge(sets, threshold):
+    members, union = [[i] for i in range(len(sets))], [set(x) for x in sets]
+    while True:
+        found = [(-len(union[i] & union[j]) / len(union[i] | union[j]), i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if union[i] and union[j]]
+        s, i, j = min(found, default=(1, 0, 0))
+        if -s < threshold:
+            return sorted(sorted(m) for m in members if len(m) > 1)
+        members[i] += members[j]
+        union[i] |= union[j]
+        members[j], union[j] = [], set()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 9), min_size=1, max_size=5), max_size=14), st.sampled_from([0.2, 0.4, 0.5, 0.75, 1.0]))
+def test_merge_loop_equals_all_pairs(sets, threshold):
+    assert sorted(sorted(m) for m in similarity._merge(sets, threshold)) == naive_merge(sets, threshold)
+
+
+def test_clusters_of_a_repo_of_over_500_models(spark):
+    n = 300  # pairs that share both references, each its own cluster
+    names = [f"src_{k}" for k in range(2 * n)] + [f"stg_topic_{k}" for k in range(2 * n)]
+    links = [(2 * n + 2 * k + a, 2 * k + b) for k in range(n) for a in (0, 1) for b in (0, 1)]
+    g = build(spark, names, links)
+    got = similarity.semantic_clusters(g).select("cluster", "node_id").collect()
+    assert sorted(map(tuple, got)) == [(2 * n + 2 * k + 1, 2 * n + 2 * k + a + 1) for k in range(n) for a in (0, 1)]
+    assert similarity.infer_tags(g).filter("tag_name is not null").count() == 2 * n
