@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import persist, small_batches, table, tidy
+from quarrygraph.llm.common import persist, small_batches, table, text_key, tidy
 from quarrygraph.llm.components import connected_components
 
 _BITS = 64
@@ -178,11 +178,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one whose id names the component."""
+    """Keeps one row of each group: the least by id (null ids last), then by text key. Of rows that repeat both
+    id and text one is kept, whichever."""
     small_batches(spark)
-    named = persist(near_duplicates(docs), "near-duplicates")
-    own = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = own.select("doc_id")
+    rows = docs.withColumn("tkey__", text_key(F.col("text")))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("tkey__").alias("tkey"))
+    named = persist(near_duplicates(rows.withColumn("row__", row), id_col="row__"), "near-duplicates")
+    own = named.filter(F.col("row__") == F.col("component_id")).groupBy("row__").agg(F.count("*").alias("rows"))
+    kept = own.select("row__.doc_id", "row__.tkey")
     repeated = not own.filter("rows > 1").isEmpty()
-    one = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"]) if repeated else one
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["tkey__"] == kept["tkey"])
+    one = rows.join(kept.hint("shuffle_hash"), same, "left_semi")
+    return (one.dropDuplicates(["doc_id", "tkey__"]) if repeated else one).drop("tkey__")

@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarrygraph.llm import op5_suffixes, op6_lines, op8_packing, op9_simhash
-from quarrygraph.llm.common import default_tokenizer, utf8, words
+from quarrygraph.llm.common import default_tokenizer, text_key, utf8, words
 from tests.llm.conftest import prose
 
 
@@ -137,6 +138,22 @@ def test_simhash(odd_docs, no_docs):
     assert op9_simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_simhash_stage_keeps_one_row_of_each_component(spark, odd_docs):
+    """Null and repeated ids with other texts: a row survives if it is its component's least by id, then text key."""
+    more = [(5, prose(50)), (None, prose(51)), (None, prose(51)), (20, prose(7)), (21, prose(51)), (None, prose(52)), (None, prose(53)), (8, prose(52))]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = [(as_id(r["doc_id"]), r["k"], r["text"]) for r in docs.withColumn("k", text_key(F.col("text"))).collect()]
+    prints = [op9_simhash.fingerprint(t) for *_, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    want = [min((r for r, c in zip(rows, comp) if c == k), key=lambda r: r[:2]) for k in set(comp)]
+    got = op9_simhash.stage(spark, docs, "").collect()
+    assert sorted((as_id(r["doc_id"]), r["text"] or "") for r in got) == sorted((i, t or "") for i, _, t in want)
+
+
 @pytest.mark.parametrize("max_tile", [8192, 16])
 def test_simhash_links_match_all_pairs(spark, max_tile):
     r = random.Random(1)
