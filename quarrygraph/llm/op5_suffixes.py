@@ -4,7 +4,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 
 1. Anchors. Of every window of ``length`` bytes the k-gram with the least hash is an anchor. Equal windows
    have the same anchor at the same place, so windows can only repeat where anchors do. An anchor's context
-   is all windows that it can stand for. Tasks send hashes of anchors and contexts, packed, to buckets;
+   is all windows that it can stand for. Tasks send hashes of anchors (40 bits: two that meet only cost work)
+   and contexts (128 bits: equal ones count as equal bytes), packed, to buckets;
    a context that a task has already seen in a smaller document is settled there, so a passage that very
    many documents hold sends one entry a task.
 2. A bucket settles each context that a smaller document holds whole, and drops anchors that only one
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,20 +78,19 @@ def _sliding(a: np.ndarray, w: int, best) -> np.ndarray:
     return best(a[: len(a) - (w - step)], a[w - step :]) if w > step else a
 
 
-def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _A), np.full(n, np.uint64(pow(int(_A), -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _context_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """128-bit hash of each context and of its anchor's place in it, as two words."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(raw[s:e], n) for s, e, n in zip(starts.tolist(), ends.tolist(), left.tolist())]), "<u8").reshape(-1, 2)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, anchor hash, context hash) of all anchors of a run of texts, in order of place."""
+    """(place, anchor hash, two words of context hash) of all anchors of a run of texts, in order of place."""
     w, reach = length - k + 1, length - k
     total = len(data)
     ends = np.repeat(offsets[1:], np.diff(offsets)) if total else np.zeros(0, np.int64)
     begins = np.repeat(offsets[:-1], np.diff(offsets)) if total else ends
     places, hashes, contexts = [], [], []
-    up = down = None
     for at in range(0, total, _BLOCK):
         low, high = max(0, at - w), min(total, at + _BLOCK + length + w)
         x = data[low:high].astype(np.uint64) + np.uint64(1)
@@ -103,17 +104,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
         found = found[(found + low >= at) & (found + low < at + _BLOCK)]
         if not len(found):
             continue
-        if up is None or len(up) < len(x) + 1:
-            up, down = _ladder(_BLOCK + length + 2 * w + 2)
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
         p = found + low
         left, right = np.minimum(reach, p - begins[p]), np.minimum(length, ends[p] - p)
-        c = (run[found + right] - run[found - left]) * down[found - left]
         places.append(p)
         hashes.append(h[found])
-        contexts.append(_mix(c ^ (left.astype(np.uint64) << np.uint64(56)) ^ (right.astype(np.uint64) << np.uint64(48))))
+        contexts.append(_context_hashes(data[low:high], found - left, found + right, left))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     return np.concatenate(places), np.concatenate(hashes), np.concatenate(contexts)
 
 
@@ -153,10 +150,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _settle(m, c, doc_id):
     """(sorted order, which entries a smaller document settles, first entry of each entry's anchor) by anchor and context."""
-    order = np.lexsort((doc_id, c, m))
+    order = np.lexsort((doc_id, c[:, 0], m))  # contexts that share one word only may alternate: they stay unsettled
     sm, sc, sd = m[order], c[order], doc_id[order]
     new_m = np.concatenate([[True], sm[1:] != sm[:-1]])
-    new = new_m | np.concatenate([[True], sc[1:] != sc[:-1]])
+    new = new_m | np.concatenate([[True], (sc[1:] != sc[:-1]).any(1)])
     low = sd[np.maximum.accumulate(np.where(new, np.arange(len(sd)), 0))]
     return order, sd > low, new_m, new
 
@@ -195,7 +192,7 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
                     head = _pack(ids, tkeys, doc[rows], pos[rows])
                     buckets.append(b)
                     kinds.append(0)
-                    blobs.append(np.array([len(head)], "<u4").tobytes() + head + _five(m[rows] & _M5) + _five(c[rows] & _M5))
+                    blobs.append(np.array([len(head)], "<u4").tobytes() + head + _five(m[rows] & _M5) + c[rows].astype("<u8").tobytes())
             yield _blob_rows(buckets, kinds, blobs)
 
         for batch in batches:
@@ -244,8 +241,9 @@ def _judge(group: pa.Table) -> pa.Table:
             continue
         n = int(np.frombuffer(blob[:4], "<u4")[0])
         ids, tkeys, doc, pos = _unpack(blob[4 : 4 + n])
-        raw = np.frombuffer(blob, np.uint8, offset=4 + n)
-        parts.append((ids, tkeys, doc + base, pos, _from_five(raw[: len(raw) // 2]), _from_five(raw[len(raw) // 2 :])))
+        cut = 4 + n + 5 * len(pos)
+        m = _from_five(np.frombuffer(blob, np.uint8, 5 * len(pos), 4 + n))
+        parts.append((ids, tkeys, doc + base, pos, m, np.frombuffer(blob[cut:], "<u8").reshape(-1, 2)))
         base += len(ids)
     if parts:
         ids, tkeys, doc, pos, m, c = (np.concatenate([p[j] for p in parts]) for j in range(6))

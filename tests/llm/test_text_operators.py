@@ -83,6 +83,16 @@ def test_suffix_dedup(odd_docs, no_docs):
     assert spans(no_docs) == []
 
 
+def test_suffix_dedup_keeps_contexts_whose_hashes_agree_in_40_bits(spark):
+    """Pairs found by search: same anchor, other surroundings, equal low 40 bits of a polynomial hash."""
+    base = "The quick brown fox jumps over the lazy dog, and then "
+    ends = ["rhhukmbqnhasywjmmexfgbrjmw", "iauoxzzfgdlvnqvjadqrdqlzte", "hrulbwekizujrqhuyzefbvovtu", "mpjvxrfkwpzchjqvehdexxlpyt", "oejxnzeiimfxwgposoxpxgergd", "zmsgdupjgtfpjprcwgkxswmpcr"]
+    for pair in (ends[:2], ends[2:4], ends[4:]):
+        rows = [(k, base + end) for k, end in enumerate(pair)]
+        want = sorted((i, *rest) for i, *rest in brute_suffixes(rows))
+        assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
+
+
 def test_suffix_dedup_of_near_copies(spark):
     r = random.Random(4)
     base = prose(77, 400).split(" ")
