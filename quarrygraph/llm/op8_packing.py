@@ -23,15 +23,19 @@ CAPACITY = 4096
 END_ID = 2
 _CACHE_WORDS = 1_000_000
 _TRAILING = b".,!?;:"
+#: Every special token of the tokenizer begins so.
+_SPECIAL = b"<|"
 
 
 class WordEncoder:
     """Ids of whole texts from ids of their distinct words.
 
     Right for tokenizers that never join ids over ASCII white space and that lower-case: a word's
-    ids do not depend on its neighbours. Trailing ASCII punctuation after a letter is a token run
-    of its own, so it is encoded apart, which leaves fewer distinct words. The cache is emptied
-    when it holds ``_CACHE_WORDS`` words.
+    ids do not depend on its neighbours. Words go to the tokenizer as they stand, since it matches its
+    special tokens and composes characters before it lower-cases; only words of ASCII that can hold no
+    special token are lower-cased first, for fewer distinct ones. Trailing ASCII punctuation after a
+    letter is a token run of its own, so it is encoded apart. The cache is emptied when it holds
+    ``_CACHE_WORDS`` words.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +72,7 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and the n+1 offsets of each text's ids."""
         data, offsets = utf8(column)
-        found, bounds = words(data, offsets, lower=True)
+        found, bounds = words(data, offsets)
         if not len(found):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = found.dictionary_encode()
@@ -76,8 +80,10 @@ class WordEncoder:
             self.clear()
         heads, tails = [], []
         for w in coded.dictionary.to_pylist():
+            if w.isascii() and _SPECIAL not in w:
+                w = w.lower()
             head = w.rstrip(_TRAILING)
-            if head != w and head and 97 <= head[-1] <= 122:
+            if head != w and head[-1:].isalpha():
                 heads.append(head)
                 tails.append(w[len(head) :])
             else:

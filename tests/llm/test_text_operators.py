@@ -257,6 +257,42 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids[ends[k] : ends[k + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids
 
 
+_ENCODED: dict = {}
+
+
+def both_encoders():
+    from tokenizers import Tokenizer
+
+    path = default_tokenizer("word_bpe_49k.json")
+    if not _ENCODED:
+        _ENCODED.update(library=Tokenizer.from_file(path), own=op8_packing.WordEncoder(path))
+    return _ENCODED["library"], _ENCODED["own"]
+
+
+def same_ids(texts):
+    tk, code = both_encoders()
+    ids, ends = code.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_special_tokens_and_marks_in_upper_case():
+    same_ids(["<|EndOfText|>", "a <|ENDOFTEXT|> b<|endoftext|>C", "<|StartOfText|>. <|startoftext|>.", "J\u030c H\u0331a T\u0308 W\u030a", "DON'T. It'S; I\u0307 \u0130STANBUL. \u1e9e", "A\u0301.A \u212bngstr\u00f6m K\u0327!"])
+
+
+_PIECES = st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "\u030c", "\u0308", "\u0331", "J", "T", "a", "'S", "'ll", ".", ",", "!?", " ", "\n", "\x0b", "\x85", "\u00a0", "\u2003", "\x00", "\x1f", "7", "\u0130", "\u03a3", "\u1e9e", "\ufb01", "\u6f22", "\U0001f600"])
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.one_of(_PIECES, st.text(max_size=6)), max_size=14).map("".join))
+def test_word_encoder_equals_the_tokenizer_on_any_text(text):
+    same_ids([text])
+
+
+def test_word_encoder_equals_the_tokenizer_on_the_documents(spark):
+    same_ids([r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()])
+
+
 def test_bitmap_round_trip():
     keep = np.array([1, 0, 1, 1, 0, 0, 0, 0, 1], np.uint8)
     packed = zlib.compress(np.packbits(keep).tobytes())
