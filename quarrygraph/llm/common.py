@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrygraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -77,6 +79,22 @@ def give_back() -> None:
         pass  # another C library
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``taken`` has it (letter case ignored)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a row's text (null counts as empty); with doc_id it tells apart rows that repeat an id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

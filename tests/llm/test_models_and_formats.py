@@ -63,6 +63,133 @@ def test_ngrams_do_not_cross_texts():
             assert (together[k][0] == alone[0]).all() and (together[k][1] == alone[1]).all()
 
 
+def plain_grams(text):
+    """N-gram counts by bucket, one character at a time."""
+    mask, (a, b, c) = (1 << 64) - 1, (int(x) for x in op1_language._MIX)
+    seq, inside = [0], False
+    for ch in text or "":
+        if ch.isalpha():
+            seq.append(ord(ch.lower()) if len(ch.lower()) == 1 else ord(ch))
+            inside = True
+        elif inside:
+            seq.append(0)
+            inside = False
+    out = {}
+    for i in range(len(seq)):
+        for k in range(min(3, len(seq) - i)):
+            h = seq[i] + (seq[i + 1] * b if k else 0) + (seq[i + 2] * c if k > 1 else 0)
+            h = (h + k + 1) * a & mask
+            h = ((h ^ (h >> 29)) * b & mask) >> (64 - op1_language.BITS)
+            out[h] = out.get(h, 0) + 1
+    return out if any(seq) else None
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 64, 1 << 19])
+def test_long_texts_are_counted_in_pieces(step):
+    for text in (prose(4, 40) + " ÉTÉ Ⅷ ß漢字😀x", "a", "é", "1 2", "漢" * 9, ".a", "a."):
+        got = op1_language.long_counts(np.frombuffer(text.encode(), np.uint8), step)
+        want = plain_grams(text)
+        assert ({int(k): int(got[k]) for k in np.flatnonzero(got)} if got is not None else None) == want
+        (at, n), *_ = [x if x is not None else ((), ()) for x in op1_language.counts(pa.array([text]))]
+        assert dict(zip(map(int, at), map(int, n))) == (want or {})
+
+
+def test_a_text_of_many_slices_costs_no_more_memory():
+    import tracemalloc
+
+    text = pa.array([prose(6, 2000) * 1200])  # over 20 MB
+    op1_language._letters()
+    tracemalloc.start()
+    (at, n), *_ = op1_language.counts(text)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and n.sum() > 20 << 20
+    tracemalloc.stop()
+
+
+def test_language_equals_a_plain_regression(spark):
+    """FTRL with elastic net, TF-IDF and temperature, one weight at a time."""
+    from math import exp, log, sqrt
+
+    docs = [(k, prose(k, 12) + " " + {0: "zz zqz", 1: "ww waw", 2: "yyu uy"}[k % 3] * 3, "abc"[k % 3]) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    model = op1_language.fit(df, F.lit(True))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op1_language.predict(df, model, [F.col("doc_id")]).collect()}
+    order = [r[0] for r in spark.range(30).orderBy(F.xxhash64(F.lit(7), "id")).collect()]
+    grams = {k: plain_grams(t) for k, t, _ in docs}
+    held = {}
+    for g in grams.values():
+        for b in g:
+            held[b] = held.get(b, 0) + 1
+    idf = lambda b: log(31 / (1 + held.get(b, 0))) + 0.1
+
+    def vector(g):
+        x = {b: (1 + log(n)) * idf(b) for b, n in sorted(g.items())}
+        norm = sqrt(sum(v * v for v in x.values()))
+        return {b: v / norm for b, v in x.items()}
+
+    z, n = {}, {}
+
+    def weight(b, c):
+        zi, ni = z.get((b, c), 0.0), n.get((b, c), 0.0)
+        return 0.0 if abs(zi) <= 0.05 else -(zi - (0.05 if zi > 0 else -0.05)) / ((1 + sqrt(ni)) / 0.5 + 0.01)
+
+    def logits(x):
+        return [sum(v * weight(b, c) for b, v in x.items()) for c in range(3)]
+
+    def shares(zs):
+        e = [exp(v - max(zs)) for v in zs]
+        return [v / sum(e) for v in e]
+
+    learned = [d for k, d in enumerate(order) if k % 5]
+    for _ in range(4):
+        for d in learned:
+            x = vector(grams[d])
+            w = {(b, c): weight(b, c) for b in x for c in range(3)}
+            p = shares([sum(v * w[b, c] for b, v in x.items()) for c in range(3)])
+            for b, v in x.items():
+                for c in range(3):
+                    g = v * (p[c] - (d % 3 == c))
+                    step = (sqrt(n.get((b, c), 0.0) + g * g) - sqrt(n.get((b, c), 0.0))) / 0.5
+                    z[b, c] = z.get((b, c), 0.0) + g - step * w[b, c]
+                    n[b, c] = n.get((b, c), 0.0) + g * g
+    aside = order[::5]
+    loss = lambda t: -sum(log(max(shares([v / t for v in logits(vector(grams[d]))])[d % 3], 1e-12)) for d in aside) / len(aside)
+    assert loss(model["temperature"]) <= min(loss(t) for t in (0.02, 0.05, 0.1, 0.3, 1, 3, 20)) + 1e-6
+    for d in range(30):
+        p = shares([v / model["temperature"] for v in logits(vector(grams[d]))])
+        assert got[d][0] == "abc"[p.index(max(p))] and abs(got[d][1] - max(p)) < 1e-6
+    seen = {b for d in order for b in grams[d]}
+    zeros = {(b, c) for b in seen for c in range(3) if weight(b, c) == 0}
+    assert zeros and zeros == {(b, c) for b in seen for c in range(3) if model["weights"][model["row_of"][b], c] == 0}
+
+
+def test_every_language_is_learned(spark):
+    made = [f"l{k:03d}" for k in range(200)]
+    letters = [chr(0x4E00 + 40 * k) for k in range(200)]
+    rows = [(1000 * j + k, f"{letters[k]}{letters[k]} {letters[k]}{j % 10}", made[k]) for k in range(200) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = op1_language.fit(df, F.lit(True))
+    assert model["langs"] == made
+    got = op1_language.predict(df, model, [F.col("doc_id"), F.col("lang")]).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.99
+
+
+def test_one_id_in_most_rows_gives_one_model(spark, monkeypatch):
+    rows = [(7, f"{prose(k % 50, 5)} {k}", "a") for k in range(10_000)] + [(100 + k, prose(k, 10), "ab"[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one, two = (op1_language.fit(d, F.lit(True), per_lang=20) for d in (df.coalesce(1), df.repartition(13)))
+    assert one["langs"] == ["a", "b"] and (one["weights"] == two["weights"]).all() and one["temperature"] == two["temperature"]
+    picks = op1_language._picked(df.select(F.col("doc_id").alias("pick"), F.col("lang").alias("of")), 20)
+    assert len(picks) == len(set(picks)) == 40
+
+
+def test_language_stage_without_labels_or_with_taken_names(spark, odd_docs):
+    kept = op1_language.stage(spark, odd_docs.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert {r["doc_id"] for r in odd_docs.collect()} - {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 15}
+    named = odd_docs.withColumn("lang__", F.lit(5)).withColumn("Score__", F.lit(6))
+    kept = op1_language.stage(spark, named, SF)
+    assert kept.columns == named.columns and {(r["lang__"], r["Score__"]) for r in kept.collect()} == {(5, 6)}
+
+
 def test_temperature_sharpens_and_softens():
     z = np.array([[1.0, 0.0]] * 20)
     assert op1_language.fit_temperature(z, np.zeros(20, int)) < 0.1
