@@ -145,8 +145,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[p
     if not len(at):
         return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
     starts = np.append(at, len(kept)).astype(np.int32)
-    seen = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(kept))]), seen[offsets]
+    seen = np.searchsorted(np.flatnonzero(first), offsets)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(kept))]), seen
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

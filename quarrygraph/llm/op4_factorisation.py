@@ -40,21 +40,40 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(found: pa.Array) -> np.ndarray:
-    """64-bit polynomial hash of each word of a binary array without nulls, all words at once."""
+def word_hashes(found: pa.Array, step: int = 4 << 20) -> np.ndarray:
+    """64-bit polynomial hash of each word of a binary array without nulls, some ``step`` bytes of words at once."""
     n = len(found)
     if not n:
         return np.zeros(0, np.uint64)
     _, ends, data = found.buffers()
-    at = np.frombuffer(ends, np.int32)[: n + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8)[: at[-1]]
-    with np.errstate(over="ignore"):
-        inverse = pow(int(_PRIME), -1, 1 << 64)
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data), int(_PRIME)), dtype=np.uint64)])
-        h = (run[at[1:]] - run[at[:-1]]) * _powers(len(data) + 1, inverse)[at[:-1]]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
+    ends = np.frombuffer(ends, np.int32)[: n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    out, first = np.empty(n, np.uint64), 0
+    inverse = pow(int(_PRIME), -1, 1 << 64)
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, side="right")) - 1)
+        at = ends[first : last + 1] - ends[first]
+        part = data[ends[first] : ends[last]]
+        with np.errstate(over="ignore"):
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(len(part), int(_PRIME)), dtype=np.uint64)])
+            h = (run[at[1:]] - run[at[:-1]]) * _powers(len(part) + 1, inverse)[at[:-1]]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            out[first:last] = h ^ (h >> np.uint64(29))
+        first = last
+    return out
+
+
+def _class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each class each text has."""
+    if len(offsets) == 2:  # a text by itself may be long
+        tally = np.bincount(data, minlength=256)
+        return np.array([[tally[chosen].sum() for chosen in _BYTE_CLASSES]])
+    out = np.empty((len(offsets) - 1, len(_BYTE_CLASSES)), np.int64)
+    for k, chosen in enumerate(_BYTE_CLASSES):
+        run = np.concatenate([[0], np.cumsum(chosen[data], dtype=np.int64)])
+        out[:, k] = run[offsets[1:]] - run[offsets[:-1]]
+    return out
 
 
 def raw_features(column: pa.Array, chars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +82,7 @@ def raw_features(column: pa.Array, chars: pa.Array) -> tuple[np.ndarray, np.ndar
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1)
     stats = np.zeros((n, N_STATS))
-    for k, chosen in enumerate(_BYTE_CLASSES):
-        run = np.concatenate([[0], np.cumsum(chosen[data], dtype=np.int64)])
-        stats[:, k] = (run[offsets[1:]] - run[offsets[:-1]]) / size
+    stats[:, : len(_BYTE_CLASSES)] = _class_counts(data, offsets) / size[:, None]
     found, bounds = words(data, offsets, lower=True)
     hashes = word_hashes(found)
     n_words = np.diff(bounds)
@@ -121,7 +138,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], factors: int = 8, epoc
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", max_rows: int = 6000) -> dict | None:
-    """Model of at most ``max_rows`` labelled rows where ``learn`` (over the id) holds; None without any."""
+    """Model of at most ``max_rows`` labelled ids where ``learn`` (over the id) holds; None without any.
+
+    Of rows that repeat an id the least (text, characters) is learned from, and the least of its labels.
+    """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn)
     picked = known.groupBy(F.col(id_col).alias("pick__")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(5), "pick__"), "pick__").limit(max_rows).collect()
@@ -138,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary()), pa.array(list(stats))], names=["h", "label", "at", "x", "stats"])
 
     # the picks are at most max_rows ids
-    sample = docs.join(F.broadcast(picks), F.col(id_col) == F.col("pick__")).select(F.xxhash64(F.lit(5), "pick__").alias("h"), F.col("label__").alias("label"), F.col(text_col).alias("text"), F.col(chars_col).cast("long").alias("chars"))
-    found = sorted(sample.mapInArrow(featurise, "h bigint, label int, at binary, x binary, stats array<double>").limit(2 * max_rows).collect(), key=lambda r: (r["h"], r["at"]))
+    rows = docs.select(F.col(id_col).alias("pick__"), F.struct(F.col(text_col).cast("string").alias("text"), F.col(chars_col).cast("long").alias("chars")).alias("row"))
+    sample = rows.join(F.broadcast(picks), "pick__").groupBy("pick__", "label__").agg(F.min("row").alias("row"))
+    sample = sample.select(F.xxhash64(F.lit(5), "pick__").alias("h"), F.col("label__").alias("label"), "row.text", "row.chars")
+    found = sorted(sample.mapInArrow(featurise, "h bigint, label int, at binary, x binary, stats array<double>").collect(), key=lambda r: (r["h"], r["at"]))
     if not found:
         return None
     stats = np.array([r["stats"] for r in found])
@@ -186,8 +208,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op4_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns of the whole ``documents`` table. Null and empty texts are scored by their statistics;
-    repeated rows and extra columns change nothing."""
+    """Contract columns of the whole ``documents`` table. Null and empty texts are scored by their statistics, a
+    null count of characters by a bin of its own; a null id is not held out and has no label. Each repeated row
+    has a result of its own; extra columns are ignored; an empty table gives no rows, and without any label
+    every score is 0.5. A worker holds one whole text, and some 30 bytes a word of it."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     scored = score(docs, model, [F.col("doc_id"), held_out().alias("held_out")])

@@ -237,12 +237,83 @@ def test_boilerplate_rejects_depleted_documents(spark):
 
 
 # --- classifier
-def test_factorisation_identity():
-    rng = np.random.default_rng(0)
-    x, v = rng.normal(size=7), rng.normal(size=(7, 3))
-    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(7) for j in range(i))
-    s = (v * x[:, None]).sum(0)
-    assert np.isclose(0.5 * (s @ s - ((v * x[:, None]) ** 2).sum()), pairs)
+def features(text, chars, edges):
+    """{feature: value} of one text from the operator's columns."""
+    row, bucket, x, stats = op4_factorisation.raw_features(pa.array([text], pa.string()), pa.array([chars], pa.int64()))
+    cols = op4_factorisation.stat_columns(stats, edges)[0]
+    return dict(zip(map(int, bucket), map(float, x))) | dict.fromkeys(map(int, cols), op4_factorisation.N_STATS**-0.5)
+
+
+def pair_score(x, w0, w, v):
+    """Explicit sum over all pairs of features."""
+    z = w0 + sum(w[i] * a for i, a in x.items())
+    return z + sum(float(v[i] @ v[j]) * a * b for i, a in x.items() for j, b in x.items() if i < j)
+
+
+def test_score_equals_sums_over_pairs(spark):
+    rng, dim = np.random.default_rng(0), op4_factorisation.DIM
+    edges = np.sort(rng.normal(1, 1, (op4_factorisation.N_STATS, op4_factorisation.BINS - 1)), axis=1)
+    model = {"w0": 0.3, "w": rng.normal(size=dim), "v": rng.normal(0, 0.3, (dim, 3)), "edges": edges}
+    docs = [(1, prose(1, 30), 100), (2, "", 0), (3, None, None), (4, "a a a b", 7), (5, "#$% 12 é!", None)]
+    got = op4_factorisation.score(spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint").coalesce(1), model, [F.col("doc_id")]).collect()
+    for r in got:
+        _, text, chars = docs[r["doc_id"] - 1]
+        z = pair_score(features(text, chars, edges), model["w0"], model["w"], model["v"])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_training_follows_the_gradient_of_the_pair_sum():
+    """One AdaGrad step a row, against numerical gradients of the explicit pair sum."""
+    rng = np.random.default_rng(11)
+    dim, rate, l2 = op4_factorisation.DIM, 0.1, 1e-5
+    rows = [(np.array([1, 5, 9]), np.array([0.5, 0.2, 0.4]), 1), (np.array([1, 7]), np.array([0.3, 0.9]), 0)]
+    w0, w, v = 0.0, np.zeros(dim), rng.normal(0, 0.02, (dim, 2))
+    gw, gv, g0 = np.full(dim, 1e-2), np.full((dim, 2), 1e-2), 1e-2
+    loss = lambda x, y, *p: np.log1p(np.exp(-(2 * y - 1) * pair_score(x, *p)))
+    slope = lambda f: (f(1e-6) - f(-1e-6)) / 2e-6
+    for _ in range(2):
+        for k in rng.permutation(2):
+            at, values, y = rows[k]
+            x = dict(zip(at.tolist(), values.tolist()))
+
+            def moved(step, i=None, f=None):
+                a, b = w.copy(), v.copy()
+                if f is not None:
+                    b[i, f] += step
+                elif i is not None:
+                    a[i] += step
+                return loss(x, y, w0 + (step if i is None else 0), a, b)
+
+            d0 = slope(moved)
+            dw = {i: slope(lambda s, i=i: moved(s, i)) + l2 * w[i] for i in x}
+            dv = {(i, f): slope(lambda s, i=i, f=f: moved(s, i, f)) + l2 * v[i, f] for i in x for f in range(2)}
+            for i, d in dw.items():
+                gw[i] += d * d
+                w[i] -= rate * d / np.sqrt(gw[i])
+            for key, d in dv.items():
+                gv[key] += d * d
+                v[key] -= rate * d / np.sqrt(gv[key])
+            g0 += d0 * d0
+            w0 -= rate * d0 / np.sqrt(g0)
+    model = op4_factorisation.train(rows, factors=2, epochs=2)
+    assert abs(model["w0"] - w0) < 1e-6 and np.allclose(model["w"], w, atol=1e-6) and np.allclose(model["v"], v, atol=1e-6)
+
+
+def test_a_labelled_id_in_many_rows_gives_one_model(spark):
+    rows = [(3, f"{prose(k, 5)}", k) for k in range(500)] + [(10 + k, prose(k, 10), k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(3, 1), (3, 0)] + [(10 + k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    one, two = (op4_factorisation.fit(d, labels, F.lit(True), max_rows=30) for d in (docs.coalesce(1), docs.repartition(11)))
+    assert one["w0"] == two["w0"] and (one["w"] == two["w"]).all() and (one["v"] == two["v"]).all()
+
+
+def test_word_hashes_of_long_texts_are_cut_between_words():
+    from quarrygraph.llm.common import utf8, words
+
+    found, _ = words(*utf8(pa.array([prose(2, 300), "x" * 100 + " y"])))
+    whole = op4_factorisation.word_hashes(found)
+    for step in (1, 7, 100):
+        assert (op4_factorisation.word_hashes(found, step) == whole).all()
 
 
 def test_word_hash_depends_on_the_word_alone():
