@@ -373,6 +373,66 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert [r["vec_id"] for r in by[200]] == [k for k in range(100, 122) if k != 200][:20]
 
 
+def brute_neighbours(rows, top=20):
+    """{query: [(score, id)]} with vectors of each length by themselves."""
+    out = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for _, v in (r for r in rows if r[0] == q):
+            for i, w in rows:
+                if i != q and len(w) == len(v):
+                    s = float((np.array(v) * np.array(w)).sum())
+                    best[i] = max(s, best.get(i, -np.inf))
+        if best:
+            out[q] = sorted(((-s, i) for i, s in best.items()))[:top]
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 10, 16 << 20])
+def test_neighbours_of_mixed_lengths_and_repeated_ids(spark, block_bytes):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(700)]
+    rows += [(k, rng.normal(size=3).tolist()) for k in range(690, 760)]  # some ids have a vector of each length
+    rows += [(k % 30, rng.normal(size=6).tolist()) for k in range(300)] + [rows[40]] * 900  # ids with many vectors, one row many times
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in op3_neighbours.nearest(df, F.col("id") % 20 == 0, block_bytes=block_bytes, target=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute_neighbours(rows)
+    assert set(got) == set(want)
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, *_ in found] == list(range(1, len(want[q]) + 1)) and len({i for _, i, _ in found}) == len(found)
+        hits += len({i for _, i, _ in found} & {i for _, i in want[q]})
+        if q > 700:  # lengths without an index are compared exactly
+            assert [(i, round(s, 9)) for _, i, s in found] == [(i, round(-s, 9)) for s, i in want[q]]
+    assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_index_of_a_small_table_has_parts():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, size=(125, 8)) for c in (-4, -1, 2, 5)])
+    model = op3_neighbours.fit_index(x, 4, 20, 0.95)
+    assert model["parts"] == 4 and model["probes"] < 4
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_tables(spark, sf):
+    got = op3_neighbours.op3_neighbours(spark, f"/root/testdata/{sf}").collect()
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '/root/testdata/{sf}/embeddings.parquet'").fetchall()
+    rows = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    best = {}
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        best[int(ids[k])] = set(ids[np.lexsort((ids, -s))[: min(20, len(ids) - 1)]].tolist())
+    hit = sum(r["vec_id"] in best[r["query_id"]] for r in got)
+    print(sf, "recall", hit / sum(map(len, best.values())))
+    assert hit >= 0.9 * sum(map(len, best.values()))
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.6, 0.8]), (21, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = {(r["query_id"], r["rank"], r["vec_id"]) for r in op3_neighbours.nearest(few, F.col("id") % 20 == 0).collect()}
