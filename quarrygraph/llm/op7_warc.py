@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from quarrygraph.llm.common import scratch_root, table
+from quarrygraph.llm.common import persist, scratch_root, spread_join, table
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length bigint, headers map<string,string>, payload binary"
 #: Columns that hold one header each.
@@ -75,14 +75,22 @@ def _listed(uri: str) -> list[tuple[str, int]]:
     return sorted((f"{base}/{n}", found[n]) for n in names)
 
 
+#: The largest length that a member's header can name.
+_LONGEST = 0xFFFFFFFF
+
+
 def encode_record(headers: dict[str, str], payload: bytes, level: int = 6) -> bytes:
-    """One record as a gzip member."""
+    """One record as a gzip member; its header names the member's length, but for members over 4 GiB, whose end
+    a reader finds by decoding them."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {_clean(v)}\r\n" for k, v in headers.items() if v is not None)
     block = (head + f"Content-Length: {len(payload)}\r\n\r\n").encode() + payload + b"\r\n\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     data = packer.compress(block) + packer.flush()
-    whole = 10 + 2 + 12 + len(data) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, whole & 0xFFFFFFFF, len(block) & 0xFFFFFFFF) + data + struct.pack("<II", zlib.crc32(block), len(block) & 0xFFFFFFFF)
+    tail = data + struct.pack("<II", zlib.crc32(block), len(block) & 0xFFFFFFFF)
+    whole = 10 + 2 + 12 + len(tail)
+    if whole > _LONGEST:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + tail
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, whole, len(block) & 0xFFFFFFFF) + tail
 
 
 def _clean(value: str) -> str:
@@ -295,8 +303,8 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", htm
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    shared = base.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    linked = base.join(shared, "digest", "left")
+    shared = persist(base.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "warc-shared")
+    linked = spread_join(base, shared.select("digest", "first"), shared, "digest", F.struct("id", "uri"), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     pairs = {
