@@ -58,6 +58,23 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, by: Column, how: str = "inner", least: int = 10_000, ways: int = 64) -> DataFrame:
+    """``left`` with its row of ``right`` (one a key), where rows of a key that very many share are dealt to ``ways`` tasks.
+
+    ``sizes`` is (key, n), the rows of each key in ``left``. Keys with more than 1/4096 of all rows, and more than
+    ``least``, are dealt out by a hash of ``by``; there can be no more than 4096 of them, so they are broadcast.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in sizes.filter(F.col("n") > max(least, total // 4096)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    name = fresh([*left.columns, *right.columns], "way__")[0]
+    listed = F.broadcast(left.sparkSession.createDataFrame([(k, ways) for k in hot], sizes.select(key).schema.add(name, "integer")))
+    dealt = left.join(listed, key, "left").withColumn(name, F.coalesce(F.pmod(F.xxhash64(by), F.col(name)), F.lit(0).cast("bigint")))
+    copies = right.join(listed, key, "left").withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(name), F.lit(1)).cast("bigint") - 1)))
+    return dealt.join(copies, [key, name], how).drop(name)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over Arrow batches, after which the worker gives its free memory back; workers live on between stages."""
 

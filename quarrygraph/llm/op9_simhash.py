@@ -1,22 +1,25 @@
 """SimHash near-duplicates: tiled exact comparison with exclusive-or and bit counts.
 
-Fingerprints within ``radius`` of each other agree exactly on one of ``radius + 1`` bit blocks,
-so the tiles are the fingerprints that share a block. Inside a tile, fingerprints are sorted by
-population count and cut into sub-tiles; pairs of sub-tiles whose population counts differ by
-more than the radius are skipped, every other pair is compared exactly. A tile with more than
-``max_tile`` fingerprints is dealt out as pairs of chunks. Each tile returns a spanning forest
-of its links, never all of them, so groups of copies do not multiply.
+Fingerprints are cut into bit blocks. Two within ``radius`` differ in at most that many blocks, so they agree
+exactly on all blocks of some choice that leaves ``radius`` out: the tiles are the fingerprints that agree on a
+choice. There are ``radius + 1`` blocks, and more in larger tables, so that tiles of unrelated fingerprints
+keep their size. A tile with more than ``max_tile`` fingerprints is cut by population count into bands, and
+bands into chunks; pairs of chunks whose population counts differ by more than the radius are never made,
+every other pair is compared exactly, again skipping sub-tiles too far apart. Each tile returns a spanning
+forest of its links, never all of them, so groups of copies do not multiply.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import persist, small_batches, table, text_key, tidy
+from quarrygraph.llm.common import fresh, persist, small_batches, spread_join, table, text_key, tidy
 from quarrygraph.llm.components import connected_components
 
 _BITS = 64
@@ -104,21 +107,46 @@ def tile_links(fps: np.ndarray, side: np.ndarray | None, radius: int, step: int
     return f[at], f[forest.parent[at]]
 
 
+def choices(n: int, radius: int, max_tile: int) -> list[int]:
+    """Masks of the block choices for ``n`` fingerprints: as few blocks as leave ``max_tile`` unrelated ones a tile."""
+    blocks = radius + 1
+    while n >> (_BITS * (blocks - radius) // blocks) > max_tile and blocks < 2 * radius:
+        blocks += 1
+    cuts = [_BITS * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(blocks)]
+    return [sum(c) for c in itertools.combinations(masks, blocks - radius)]
+
+
+def tiles(distinct: DataFrame, radius: int = 4, max_tile: int = 8192) -> DataFrame:
+    """(blk, val, lo, hi, side, fp): each fingerprint in every tile, or pair (lo, hi) of chunks of a tile, it takes part in."""
+    masks = choices(distinct.count(), radius, max_tile)
+    signed = [m - (1 << _BITS) if m >> (_BITS - 1) else m for m in masks]
+    parts = [F.struct(F.lit(k).alias("blk"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("val")) for k, m in enumerate(signed)]
+    rows = distinct.select("fp", F.explode(F.array(*parts)).alias("t")).select("t.blk", "t.val", F.bit_count("fp").alias("pop"), "fp")
+    tile = Window.partitionBy("blk", "val")
+    bands = rows.groupBy("blk", "val", "pop").agg(F.count("*").alias("n"))
+    bands = bands.withColumn("all", F.sum("n").over(tile)).filter(F.col("all") > max_tile)  # at most 65 rows a tile
+    before = F.sum("n").over(tile.orderBy("pop")) - F.col("n")
+    bands = bands.withColumn("band", F.floor(before / max_tile).cast("int"))
+    band = bands.groupBy("blk", "val", "band").agg(F.min("pop").alias("least"), F.max("pop").alias("most"), F.ceil(F.sum("n") / max_tile).cast("int").alias("cut"))
+    other = band.select("blk", "val", *(F.col(c).alias(f"{c}2") for c in ("band", "least", "most", "cut")))
+    near = band.join(other, ["blk", "val"]).filter((F.col("least2") - F.col("most") <= radius) & (F.col("least") - F.col("most2") <= radius))
+    near = near.groupBy("blk", "val", "band", "cut").agg(F.collect_list(F.struct("band2", "cut2")).alias("near"))
+    dealt = bands.select("blk", "val", "pop", "band").join(near, ["blk", "val", "band"])
+    code = lambda b, c: b.cast("bigint") * (1 << 32) + c
+    rows = rows.join(dealt, ["blk", "val", "pop"], "left")
+    own = F.coalesce(code(F.col("band"), F.pmod(F.xxhash64("fp"), F.col("cut"))), F.lit(0).cast("bigint"))
+    chunks = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x["cut2"].cast("bigint") - 1), lambda c: code(x["band2"], c))))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.coalesce(chunks, F.array(F.lit(0).cast("bigint")))))
+    # A chunk meets itself in the tile (own, own); elsewhere only pairs of different sides count.
+    return rows.select("blk", "val", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+
+
 def links(distinct: DataFrame, radius: int = 4, max_tile: int = 8192) -> DataFrame:
     """(a, b): links that connect what all pairs within ``radius`` connect, over distinct fingerprints ``fp``."""
-    n = radius + 1
-    cuts = [_BITS * k // n for k in range(n + 1)]
-    blocks = [F.struct(F.lit(k).alias("blk"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("val")) for k in range(n)]
-    rows = distinct.select("fp", F.explode(F.array(*blocks)).alias("t")).select("t.blk", "t.val", "fp")
-    large = rows.groupBy("blk", "val").count().filter(F.col("count") > max_tile).select("blk", "val", F.ceil(F.col("count") / max_tile).cast("int").alias("cut"))
-    rows = rows.join(large, ["blk", "val"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    rows = rows.select("blk", "val", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    # A chunk meets itself in the tile (own, own); elsewhere only pairs of different sides count.
     keys = ["blk", "val", "lo", "hi"]
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+    rows = tiles(distinct, radius, max_tile).repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -163,30 +191,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored; an empty table gives no rows.
     """
     fps = persist(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
-    distinct = persist(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    roots = connected_components(links(distinct, radius))
+    distinct = persist(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "simhash-distinct")
+    roots = connected_components(links(distinct.select("fp"), radius))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return spread_join(fps, named, distinct.select("fp", "n"), "fp", F.col("id")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns of the whole ``documents`` table."""
+    """Contract columns of the whole ``documents`` table. Odd rows as in ``near_duplicates``. A worker holds one
+    whole text, its words and the hashes of one slice of its shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: the least by id (null ids last), then by text key. Of rows that repeat both
-    id and text one is kept, whichever."""
+    id and text one is kept, whichever. Null and empty texts form a group; all columns stay, whatever their
+    names; an empty table stays empty."""
     small_batches(spark)
-    rows = docs.withColumn("tkey__", text_key(F.col("text")))
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("tkey__").alias("tkey"))
-    named = persist(near_duplicates(rows.withColumn("row__", row), id_col="row__"), "near-duplicates")
-    own = named.filter(F.col("row__") == F.col("component_id")).groupBy("row__").agg(F.count("*").alias("rows"))
-    kept = own.select("row__.doc_id", "row__.tkey")
+    tkey, name = fresh(docs.columns, "tkey__", "row__")
+    rows = docs.withColumn(tkey, text_key(F.col("text")))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(tkey).alias("tkey"))
+    named = persist(near_duplicates(rows.select(row.alias("id"), "text"), id_col="id").select(F.col("id").alias(name), "component_id"), "near-duplicates")
+    own = named.filter(F.col(name) == F.col("component_id")).groupBy(name).agg(F.count("*").alias("rows"))
+    kept = own.select(F.col(f"{name}.doc_id").alias("id__"), F.col(f"{name}.tkey").alias("key__"))
     repeated = not own.filter("rows > 1").isEmpty()
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["tkey__"] == kept["tkey"])
+    same = rows["doc_id"].eqNullSafe(kept["id__"]) & (rows[tkey] == kept["key__"])
     one = rows.join(kept.hint("shuffle_hash"), same, "left_semi")
-    return (one.dropDuplicates(["doc_id", "tkey__"]) if repeated else one).drop("tkey__")
+    return (one.dropDuplicates(["doc_id", tkey]) if repeated else one).drop(tkey)

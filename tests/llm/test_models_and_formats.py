@@ -489,6 +489,14 @@ def test_foreign_archives_are_read():
         assert len(list(op7_warc.read_records(io.BytesIO(data), lambda h: True, payload=False))) == 2
 
 
+def test_members_too_long_for_their_header_are_read(monkeypatch):
+    monkeypatch.setattr(op7_warc, "_LONGEST", 200)
+    bodies = [b"a" * 10, bytes(range(256)) * 40, b""]
+    raw = b"".join(op7_warc.encode_record({"WARC-Type": "response", "WARC-Record-ID": str(k)}, b) for k, b in enumerate(bodies))
+    assert [b for _, b in op7_warc.read_records(io.BytesIO(raw), lambda h: True)] == bodies
+    assert gzip.decompress(raw).count(b"WARC/1.1") == 3
+
+
 def test_payloads_of_unwanted_records_stay_coded():
     record = op7_warc.encode_record({"WARC-Type": "response"}, np.random.default_rng(0).bytes(1 << 20))
 

@@ -190,6 +190,57 @@ def test_simhash_links_match_all_pairs(spark, max_tile):
     assert sorted(map(sorted, made.values())) == sorted(map(sorted, want.values()))
 
 
+def test_block_choices_cover_every_pair_within_the_radius():
+    r = random.Random(3)
+    assert len(op9_simhash.choices(10**6, 4, 8192)) == 5 and len(op9_simhash.choices(10**10, 4, 8192)) == 15
+    for n in (10, 10**9, 10**11, 10**13, 10**15):
+        masks = op9_simhash.choices(n, 4, 8192)
+        for _ in range(300):
+            differ = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
+            assert any(not differ & m for m in masks)
+
+
+def test_simhash_links_with_more_blocks(spark, monkeypatch):
+    few = op9_simhash.choices
+    monkeypatch.setattr(op9_simhash, "choices", lambda n, radius, most: few(10**11, radius, 8192))
+    test_simhash_links_match_all_pairs.__wrapped__(spark, 16) if hasattr(test_simhash_links_match_all_pairs, "__wrapped__") else test_simhash_links_match_all_pairs(spark, 16)
+
+
+def test_chunks_beyond_the_radius_never_meet(spark):
+    """One block value for all: the tile is cut by population count, and only near chunks enter the shuffle."""
+    r = random.Random(9)
+    fps = sorted({sum(1 << b for b in r.sample(range(40), r.randint(0, 40))) for _ in range(3000)})  # the high bits agree
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    rows = op9_simhash.tiles(df, 4, 100).filter("blk = 4").collect()
+    chunk, own = {}, {}
+    for t in rows:
+        chunk.setdefault(t["hi"] if t["side"] else t["lo"], set()).add(t["fp"])
+    for c, members in chunk.items():
+        own |= dict.fromkeys(members, c)
+    spread = {c: [f.bit_count() for f in m] for c, m in chunk.items()}
+    pairs = {(t["lo"], t["hi"]) for t in rows}
+    assert set(own) == set(fps) and max(map(len, chunk.values())) < 350
+    for a in chunk:
+        for b in chunk:
+            if a <= b:
+                near = max(min(spread[a]), min(spread[b])) - min(max(spread[a]), max(spread[b])) <= 4
+                assert ((a, b) in pairs) == near
+    assert 0 < len(pairs) < len(chunk) * (len(chunk) + 1) / 2
+    for lo, hi in pairs:
+        assert {t["fp"] for t in rows if (t["lo"], t["hi"]) == (lo, hi)} == chunk[lo] | chunk[hi]
+
+
+def test_hot_keys_are_joined_in_many_tasks(spark):
+    from quarrygraph.llm.common import spread_join
+
+    left = spark.createDataFrame([(k, "x" if k % 3 else str(k)) for k in range(3000)] + [(None, None)], "id bigint, key string")
+    right = left.select("key").distinct().filter("key <> '3'").withColumn("v", F.concat("key", F.lit("!")))
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = sorted(map(str, spread_join(left, right, sizes, "key", F.col("id"), how, least=100).collect()))
+        assert got == sorted(map(str, left.join(right, "key", how).collect()))
+
+
 def test_packing(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
