@@ -236,6 +236,38 @@ def test_boilerplate_rejects_depleted_documents(spark):
     assert not any(got[k] for k in range(40)) and all(got[100 + k] for k in range(40))
 
 
+def brute_frequent(rows, max_docs=10, max_share=0.01):
+    """Line numbers that each row (id, text, host) loses."""
+    low = str.maketrans(op2_quality._UPPER, op2_quality._LOWER)
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(low)
+    held, docs = {}, {}
+    for i, t, h in rows:
+        own = ("no id", t or "") if i is None else i
+        docs.setdefault(h or "", set()).add(own)
+        for line in (t or "").split("\n"):
+            if key(line):
+                held.setdefault((h or "", key(line)), set()).add(own)
+    over = {k for k, v in held.items() if len(v) > max_docs and len(v) > len(docs[k[0]]) * max_share}
+    return [[n for n, line in enumerate((t or "").split("\n")) if (h or "", key(line)) in over] for _, t, h in rows]
+
+
+def test_frequent_lines_are_removed_by_documents(spark):
+    """Copies count as documents each, rows that repeat an id as one, and each text without an id as one."""
+    line, page = "Read 12 more pages of this site", "one page in many copies\nits second line"
+    rows = [(k, f"{prose(k, 20)}\n {line} ", "h") for k in range(12)] + [(100 + k, page, "g") for k in range(15)] + [(7, page, "x")] * 30
+    rows += [(None, f"{line}\n{k % 9}", "n") for k in range(40)] + [(None, f"{line}\nn{'x' * (k % 13)}", None) for k in range(40)] + [(300, None, "h"), (301, "", None), (3, f"{line}", "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"gone__": F.lit(1), "tkey__": F.lit(2)})
+    want = brute_frequent(rows)
+    cut = [(as_id(i), None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g)) for (i, t, _), g in zip(rows, want)]
+    got = op2_quality.without_frequent_lines(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((as_id(r["doc_id"]), r["text"]) for r in got.collect()))) == sorted(map(str, cut))
+    judged = op2_quality.quality(df).collect()
+    assert sorted((as_id(r["doc_id"]), r["n_removed_lines"]) for r in judged) == sorted((as_id(i), len(g)) for (i, *_), g in zip(rows, want))
+    assert {r["n_removed_lines"] for r in judged if r["doc_id"] is not None and 100 <= r["doc_id"] < 115} == {2}
+    assert op2_quality.without_frequent_lines(df.filter("false")).count() == 0
+
+
 # --- classifier
 def features(text, chars, edges):
     """{feature: value} of one text from the operator's columns."""
