@@ -14,7 +14,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    itself into a Burrows-Wheeler transform. The shards' transforms are merged by refining their interleave
    one symbol a round; no merged suffixes are sorted. The round in which two neighbours part is the length
    of their common prefix; neighbours together after ``length`` rounds are repeated intervals. Suffixes
-   alone in their interval leave the refinement, since what stands before them is unique as well.
+   alone in their interval leave the refinement, since what stands before them is unique as well. An anchor
+   with more contexts than a merge takes is merged window by window, in parts by the windows' hashes.
 4. Each document gets its intervals back and loses their bytes.
 """
 
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import gather, give_back, persist, small_batches, table, text_slices, tidy, utf8
+from quarrygraph.llm.common import fresh, gather, give_back, persist, small_batches, table, text_slices, tidy, utf8
 
 LENGTH, K = 50, 20
 _NULL_ID = np.iinfo(np.int64).max
@@ -88,8 +89,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     """(place, anchor hash, two words of context hash) of all anchors of a run of texts, in order of place."""
     w, reach = length - k + 1, length - k
     total = len(data)
-    ends = np.repeat(offsets[1:], np.diff(offsets)) if total else np.zeros(0, np.int64)
-    begins = np.repeat(offsets[:-1], np.diff(offsets)) if total else ends
     places, hashes, contexts = [], [], []
     for at in range(0, total, _BLOCK):
         low, high = max(0, at - w), min(total, at + _BLOCK + length + w)
@@ -98,14 +97,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
             continue
         h = _kgrams(x, k)
         m = _sliding(h, w, np.minimum)
-        m[np.arange(low, low + len(m)) + length > ends[low : low + len(m)]] = 0  # windows that no text holds
+        inside = np.diff(np.clip(offsets, low, high))
+        ends, begins = np.repeat(offsets[1:], inside), np.repeat(offsets[:-1], inside)
+        m[np.arange(low, low + len(m)) + length > ends[: len(m)]] = 0  # windows that no text holds
         top = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), m, np.zeros(w - 1, np.uint64)]), w, np.maximum)[: len(h)]
         found = np.flatnonzero((top == h[: len(top)]) & (top > 0))
         found = found[(found + low >= at) & (found + low < at + _BLOCK)]
         if not len(found):
             continue
         p = found + low
-        left, right = np.minimum(reach, p - begins[p]), np.minimum(length, ends[p] - p)
+        left, right = np.minimum(reach, p - begins[found]), np.minimum(length, ends[found] - p)
         places.append(p)
         hashes.append(h[found])
         contexts.append(_context_hashes(data[low:high], found - left, found + right, left))
@@ -262,9 +263,16 @@ def _judge(group: pa.Table) -> pa.Table:
     return found
 
 
+def _run_hash(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place on, for few places."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h += (data[at + j].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(int(_A), j, 1 << 64))
+    return _mix(h)
+
+
 def _context_rows(n_buckets: int, length: int, k: int):
     reach = length - k
-    power = np.array([pow(int(_A), j, 1 << 64) for j in range(k)], np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -283,8 +291,7 @@ def _context_rows(n_buckets: int, length: int, k: int):
                 size = np.diff(offsets)[doc]
                 left, right = np.minimum(reach, pos), np.minimum(length, size - pos)
                 at = offsets[doc] + pos
-                h = _mix((data[at[:, None] + np.arange(k)].astype(np.uint64) * power).sum(1, dtype=np.uint64))
-                of = (h % np.uint64(n_buckets)).astype(np.int64)
+                of = (_run_hash(data, at, k) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
                 cut = np.searchsorted(of[order], np.arange(n_buckets + 1))
                 buckets, blobs = [], []
@@ -372,15 +379,68 @@ def _shared(data: np.ndarray, starts: np.ndarray, has: np.ndarray, n: int) -> np
     out = np.zeros(len(starts), bool)
     rows = np.flatnonzero(has)
     if len(rows):
-        power = np.array([pow(int(_A), j, 1 << 64) for j in range(n)], np.uint64)
-        h = np.zeros(len(rows), np.uint64)
-        for j in range(n):
-            h += (data[starts[rows] + j].astype(np.uint64) + np.uint64(1)) * power[j]
-        _, inverse, counts = np.unique(_mix(h), return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(_run_hash(data, starts[rows], n), return_inverse=True, return_counts=True)
         out[rows] = counts[inverse] > 1
     return out
 
 
+def _shards(text: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Strings of the given sizes, laid end to end in ``text``, as shards of some ``_SHARD`` bytes for ``merge_shards``."""
+    text = np.where(text == 0, 255, text).astype(np.uint8)  # UTF-8 has no 255
+    tops = np.cumsum(sizes)
+    ends = np.repeat(tops, sizes)
+    shards, s = [], 0
+    while s < len(sizes):
+        e = max(s + 1, int(np.searchsorted(tops, (tops[s - 1] if s else 0) + _SHARD, side="right")))
+        b0, b1 = (int(tops[s - 1]) if s else 0), int(tops[e - 1])
+        shards.append((text[b0:b1], ends[b0:b1] - b0))
+        s = e
+    return shards
+
+
+def _least(docs: np.ndarray, interval: np.ndarray) -> np.ndarray:
+    """The smallest document of each entry's interval."""
+    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+    return np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(docs))))
+
+
+def _hot_anchor(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, doc_id: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) as ``repeated_places``, of the contexts of one anchor, however many.
+
+    Equal windows stand equally far before the anchor, and their hashes agree. So windows of one distance are
+    dealt to parts by hash, and a part is merged in runs of some ``_MERGE`` bytes, each with one window of every
+    interval, the smallest document's, and all windows alone so far."""
+    most = max(2, _MERGE // length)
+    out_context, out_offset = [], []
+    for back in range(length - k + 1):
+        rows = np.flatnonzero((left >= back) & (sizes - left >= length - back))
+        at = starts[rows] + left[rows] - back
+        part = _run_hash(data, at, length) % np.uint64(max(1, -(-2 * len(rows) // most)))
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=part[order][:1])) if len(order) else order
+        for own in np.split(order, cuts):
+            held = own[:0]
+            for s in range(0, len(own), most):
+                held = np.concatenate([held, own[s : s + most]])
+                text = data[gather(at[held], np.full(len(held), length))]
+                places, interval = merge_shards(_shards(text, np.full(len(held), length)), length)
+                window = places // length
+                docs = doc_id[rows[held[window]]]
+                hit = docs > _least(docs, interval) if len(docs) else docs > 0
+                out_context.append(rows[held[window[hit]]])
+                out_offset.append((left - back)[out_context[-1]])
+                new = np.concatenate([[True], interval[1:] != interval[:-1]]) if len(interval) else hit
+                low = np.flatnonzero(~hit)  # of the smallest document, one window an interval
+                low = low[np.unique(interval[low], return_index=True)[1]] if len(new) else low
+                stays = np.ones(len(held), bool)
+                stays[window] = False
+                stays[window[low]] = True
+                held = held[stays]
+    if not out_context:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_context), np.concatenate(out_offset)
+
+
 def repeated_places(data: np.ndarray, sizes: np.ndarray, left: np.ndarray, doc_id: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset) of each window that a context of a smaller document holds too."""
     starts = np.cumsum(sizes) - sizes
@@ -390,8 +450,7 @@ def repeated_places(data: np.ndarray, sizes: np.ndarray, left: np.ndarray, doc_i
     keep = np.flatnonzero(likely)
     if not len(keep):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    power = np.array([pow(int(_A), j, 1 << 64) for j in range(k)], np.uint64)
-    h = (data[(starts + left)[keep, None] + np.arange(k)].astype(np.uint64) * power).sum(1, dtype=np.uint64)
+    h = _run_hash(data, (starts + left)[keep], k)
     order = np.argsort(h, kind="stable")
     keep, h = keep[order], h[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -402,31 +461,27 @@ def repeated_places(data: np.ndarray, sizes: np.ndarray, left: np.ndarray, doc_i
         limit = (run[at - 1] if at else 0) + _MERGE
         end = np.searchsorted(run, limit, side="right")
         after = new[np.searchsorted(new, end, side="right") - 1] if end < len(keep) else len(keep)
-        if after <= at:
+        if after <= at:  # one anchor with more than a merge takes
             later = np.searchsorted(new, at, side="right")
             after = new[later] if later < len(new) else len(keep)
+            rows = keep[at:after]
+            at = int(after)
+            context, offset = _hot_anchor(data, starts[rows], sizes[rows], left[rows], doc_id[rows], length, k)
+            out_context.append(rows[context])
+            out_offset.append(offset)
+            continue
         rows = keep[at:after]
         at = int(after)
-        text = data[gather(starts[rows], sizes[rows])]
-        text = np.where(text == 0, 255, text).astype(np.uint8)  # UTF-8 has no 255
-        tops = np.cumsum(sizes[rows])
-        owner = np.repeat(np.arange(len(rows)), sizes[rows])
-        ends = tops[owner]
-        shards, s = [], 0
-        while s < len(rows):
-            e = max(s + 1, int(np.searchsorted(tops, (tops[s - 1] if s else 0) + _SHARD, side="right")))
-            b0, b1 = (int(tops[s - 1]) if s else 0), int(tops[e - 1])
-            shards.append((text[b0:b1], ends[b0:b1] - b0))
-            s = e
-        places, interval = merge_shards(shards, length)
+        places, interval = merge_shards(_shards(data[gather(starts[rows], sizes[rows])], sizes[rows]), length)
         if not len(places):
             continue
-        docs = doc_id[rows[owner[places]]]
-        first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-        low = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(docs))))
-        hit = places[docs > low]
-        out_context.append(rows[owner[hit]])
-        out_offset.append(hit - (tops - sizes[rows])[owner[hit]])
+        tops = np.cumsum(sizes[rows])
+        owner = np.searchsorted(tops, places, side="right")
+        docs = doc_id[rows[owner]]
+        hit = docs > _least(docs, interval)
+        owner, places = owner[hit], places[hit]
+        out_context.append(rows[owner])
+        out_offset.append(places - (tops - sizes[rows])[owner])
     if not out_context:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_context), np.concatenate(out_offset)
@@ -467,26 +522,30 @@ def _spans(n: int, settled: list[bytes], windows: list[bytes], length: int, k: i
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """All columns of ``docs`` with ``settled__`` and ``windows__``: what ``cut`` needs to remove bytes.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, str, str]:
+    """All columns of ``docs`` with two more, whose names follow: what ``cut`` needs to remove bytes.
 
     Null texts are empty. A null id counts as the largest. Rows with the same id never remove each other's
-    bytes; they are told apart by a checksum of their text, and rows that repeat both are treated alike.
+    bytes; they are told apart by a checksum of their text, and rows that repeat both are treated alike. Extra
+    columns stay, whatever their names; an empty table gives no rows. A worker holds one whole text, some 3
+    bytes a byte of it, besides slices of fixed size.
     """
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("id__", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).withColumn("tkey__", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    source = keyed.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own_id, own_key, settled, windows_of, open_ = fresh([*docs.columns, "id", "tkey"], "id__", "tkey__", "settled__", "windows__", "open__")
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    keyed = docs.withColumn(own_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).withColumn(own_key, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    source = keyed.select(F.col(own_id).alias("id"), F.col(own_key).alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packed = source.filter(F.octet_length("text") >= length).mapInArrow(tidy(_anchor_rows(buckets, length, k)), "bucket int, kind int, blob binary")
     verdicts = persist(packed.groupBy("bucket").applyInArrow(_judge, _VERDICT), "suffix-verdicts")
-    lists = verdicts.groupBy("id", "tkey").agg(F.collect_list("settled").alias("settled__"), F.collect_list("open").alias("opens"))
-    lists = lists.select(F.col("id").alias("id__"), F.col("tkey").alias("tkey__"), "settled__", F.when(F.size("opens") > 0, F.col("opens")).alias("open__"))
+    lists = verdicts.groupBy("id", "tkey").agg(F.collect_list("settled").alias(settled), F.collect_list("open").alias("opens"))
+    lists = lists.select(F.col("id").alias(own_id), F.col("tkey").alias(own_key), settled, F.when(F.size("opens") > 0, F.col("opens")).alias(open_))
     # One exchange of the texts serves both the contexts and the result.
-    known = keyed.join(lists.hint("shuffle_hash"), ["id__", "tkey__"], "left")
-    rows = known.select(F.col("id__").alias("id"), F.col("tkey__").alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("open__").alias("open")).mapInArrow(tidy(_context_rows(buckets, length, k)), "bucket int, kind int, blob binary")
+    known = keyed.join(lists.hint("shuffle_hash"), [own_id, own_key], "left")
+    rows = known.select(F.col(own_id).alias("id"), F.col(own_key).alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(open_).alias("open")).mapInArrow(tidy(_context_rows(buckets, length, k)), "bucket int, kind int, blob binary")
     windows = rows.groupBy("bucket").applyInArrow(_compare(length, k), "id bigint, tkey bigint, windows binary")
-    windows = windows.groupBy(F.col("id").alias("id__"), F.col("tkey").alias("tkey__")).agg(F.collect_list("windows").alias("windows__"))
-    return known.drop("open__").join(windows.hint("shuffle_hash"), ["id__", "tkey__"], "left").drop("id__", "tkey__")
+    windows = windows.groupBy(F.col("id").alias(own_id), F.col("tkey").alias(own_key)).agg(F.collect_list("windows").alias(windows_of))
+    return known.drop(open_).join(windows.hint("shuffle_hash"), [own_id, own_key], "left").drop(own_id, own_key), settled, windows_of
 
 
 def cut(text: str | None, settled: list[bytes] | None, windows: list[bytes] | None, length: int = LENGTH, k: int = K) -> tuple[bytes, int, int, int]:
@@ -500,29 +559,31 @@ def cut(text: str | None, settled: list[bytes] | None, windows: list[bytes] | No
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns of the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Contract columns of the whole ``documents`` table. Odd rows as in ``repeated_spans``."""
+    docs, settled, windows = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batches):
         for batch in batches:
-            rows = [cut(t.as_py(), s.as_py(), w.as_py()) for t, s, w in zip(batch.column("text"), batch.column("settled__"), batch.column("windows__"))]
+            rows = [cut(t.as_py(), s.as_py(), w.as_py()) for t, s, w in zip(batch.column("text"), batch.column(settled), batch.column(windows))]
             kept, n, gone, spans = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_spans(docs).mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each text by what is left of it; a cut inside a character drops that character's rest. A
-    document left without any word goes."""
+    document left without any word goes, null and empty texts among them. Null ids, repeated rows, extra columns
+    and empty tables as in ``repeated_spans``."""
     small_batches(spark)
     cols = docs.columns
+    cut_rows, settled, windows = repeated_spans(docs)
 
     def run(batches):
         for batch in batches:
-            texts = [cut(t.as_py(), s.as_py(), w.as_py())[0].decode("utf-8", "ignore") for t, s, w in zip(batch.column("text"), batch.column("settled__"), batch.column("windows__"))]
+            texts = [cut(t.as_py(), s.as_py(), w.as_py())[0].decode("utf-8", "ignore") for t, s, w in zip(batch.column("text"), batch.column(settled), batch.column(windows))]
             full = pa.array([bool(t.split()) for t in texts], pa.bool_())
             yield batch.select(cols).set_column(cols.index("text"), "text", pa.array(texts, pa.string())).filter(full)
 
-    kept = repeated_spans(docs).mapInArrow(tidy(run), docs.schema)
+    kept = cut_rows.mapInArrow(tidy(run), docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

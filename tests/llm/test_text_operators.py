@@ -73,8 +73,8 @@ def test_line_dedup_of_one_hot_line(spark):
 
 
 def spans(df):
-    rows = op5_suffixes.repeated_spans(df.select("doc_id", "text")).collect()
-    return sorted(((as_id(r["doc_id"]), *op5_suffixes.cut(r["text"], r["settled__"], r["windows__"])) for r in rows))
+    found, settled, windows = op5_suffixes.repeated_spans(df.select("doc_id", "text"))
+    return sorted(((as_id(r["doc_id"]), *op5_suffixes.cut(r["text"], r[settled], r[windows])) for r in found.collect()))
 
 
 def test_suffix_dedup(odd_docs, no_docs):
@@ -107,6 +107,69 @@ def test_suffix_dedup_of_near_copies(spark):
     assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
 
 
+def test_suffix_dedup_across_blocks(spark):
+    """Texts longer than a block, with repeated passages at and around its borders."""
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz é", k=n))
+    shared = [noise(120) for _ in range(12)]
+    block = op5_suffixes._BLOCK
+    own = noise(block - 60)
+    first = own + shared[0] + noise(300) + shared[1]
+    first += noise(2 * block - len(first.encode()) - 30) + shared[2] + noise(4000)
+    second = "".join(noise(r.randrange(20, 3000)) + s for s in shared for _ in range(2)) + own[-500:] + noise(70)
+    rows = [(1, first), (2, second), (3, noise(block - 110) + second[: block // 2] + noise(30)), (4, shared[2][:49] + "#"), (5, shared[2][:50] + "#")]
+    want = sorted((i, *rest) for i, *rest in brute_suffixes(rows))
+    assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
+
+
+def contexts_of(texts):
+    """Arguments of ``repeated_places``: the contexts of all anchors of some documents."""
+    data, sizes, left, docs, at = [], [], [], [], []
+    for d, t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        places, *_ = op5_suffixes.anchors(raw, np.array([0, len(raw)]))
+        for p in places.tolist():
+            lo, hi = max(p - 30, 0), min(p + 50, len(raw))
+            data.append(raw[lo:hi]), sizes.append(hi - lo), left.append(p - lo), docs.append(d), at.append(lo)
+    return np.concatenate(data), np.array(sizes), np.array(left), np.array(docs), np.array(at)
+
+
+@pytest.mark.parametrize(("merge", "shard"), [(1 << 9, 1 << 8), (1 << 13, 1 << 9), (3 << 20, 1 << 10), (3 << 20, 1 << 18)])
+def test_merges_of_any_size_find_the_same_windows(monkeypatch, merge, shard):
+    """Cut between anchors, within one anchor's contexts, and between shards; against the 50-byte strings themselves."""
+    r = random.Random(8)
+    core = "an anchor that very many documents hold in the middle of other words"
+    texts = [(d, prose(1000 + d % 7, 12) + r.choice(["", "x", "yy"]) + core + r.choice("abc") + prose(d % 5, 12)) for d in r.sample(range(500), 150)]
+    data, sizes, left, docs, at = contexts_of(texts)
+    monkeypatch.setattr(op5_suffixes, "_MERGE", merge)
+    monkeypatch.setattr(op5_suffixes, "_SHARD", shard)
+    context, offset = op5_suffixes.repeated_places(data, sizes, left, docs)
+    got = {(int(docs[c]), int(at[c] + o)) for c, o in zip(context, offset)}
+    first = {}
+    for d, t in sorted(texts):
+        raw = t.encode()
+        for j in range(len(raw) - 49):
+            first.setdefault(raw[j : j + 50], d)
+    want = {(d, j) for d, t in texts for j in range(len(t.encode()) - 49) if first[t.encode()[j : j + 50]] < d}
+    assert got == want and want
+
+
+def test_one_anchor_beyond_a_merge(monkeypatch):
+    monkeypatch.setattr(op5_suffixes, "_MERGE", 2000)
+    r = random.Random(2)
+    left, core, n = "the end of one passage in all docs ", "of very many readers ", 400
+    texts = [left[-30:] + core[:20] + "".join(r.choices("ab", k=30)) for _ in range(n)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    docs = np.array(r.sample(range(10_000), n))
+    context, offset = op5_suffixes._hot_anchor(np.concatenate(raw), np.arange(n) * 80, np.full(n, 80), np.full(n, 30), docs, 50, 20)
+    first = {}
+    for d, t in sorted(zip(docs.tolist(), texts)):
+        for j in range(31):
+            first.setdefault((j, t[j : j + 50]), d)
+    want = {(k, j) for k in range(n) for j in range(31) if first[j, texts[k][j : j + 50]] < docs[k]}
+    assert set(zip(context.tolist(), offset.tolist())) == want and len(context) == len(want)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=1, max_size=30), min_size=1, max_size=12), st.integers(1, 8))
 def test_merged_transforms_find_repeated_intervals(strings, n):
