@@ -14,7 +14,10 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge; root is the smallest node of its component.
+    """(node, root) for every node with an edge to another; root is the smallest node of its component.
+
+    Loops, edges given twice or both ways, and edges with a null end change nothing; without edges there are
+    no rows. Other columns are ignored.
 
     Each step moves neighbours onto a smaller neighbour, so a round never makes more edges
     than it reads, and the rounds grow with the logarithm of the size. Every round is written

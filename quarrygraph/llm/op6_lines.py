@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import SPACES, persist, small_batches, table, text_key, tidy
+from quarrygraph.llm.common import SPACES, fresh, persist, small_batches, table, text_key, tidy
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NULL_ID = np.iinfo(np.int64).max
@@ -92,7 +92,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = base.select("id", "no_id", "tkey", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     key = F.translate(F.trim("line", F.lit(SPACES)), _UPPER, _LOWER)
     hashed = lines.withColumn("key", key).filter(F.length("key") >= min_chars)
-    hashed = hashed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "id", "no_id", "tkey", "pos", "n_lines")
+    # Written once: the range bounds are found by a pass of their own, which would split and hash all texts again.
+    hashed = persist(hashed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "id", "no_id", "tkey", "pos", "n_lines"), "line-hashes")
     order = ["h1", "h2", "id"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "tkey", "pos")
@@ -125,29 +126,33 @@ def apply_bitmap(text: str | None, keep: bytes | None) -> str:
     return "\n".join([lines[i] for i in np.flatnonzero(bits).tolist()])
 
 
-def with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and its bitmap as ``keep__`` and ``dropped__`` (null: nothing is dropped)."""
-    right = maps.select(F.when(~F.col("no_id"), F.col("id")).alias("id__"), F.col("tkey").alias("tkey__"), F.col("n_dropped").alias("dropped__"), F.col("keep").alias("keep__"))
-    left = docs.withColumn("own_key__", text_key(F.col(text_col)))
-    joined = left.join(right.hint("shuffle_hash"), left[id_col].eqNullSafe(right["id__"]) & (left["own_key__"] == right["tkey__"]), "left")
-    return joined.drop("id__", "tkey__", "own_key__")
+def with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """All columns of ``docs`` with its bitmap and how many lines it drops (null: nothing is dropped), and their names."""
+    own, keep, dropped = fresh([*docs.columns, "id__", "tkey__"], "own_key__", "keep__", "dropped__")
+    right = maps.select(F.when(~F.col("no_id"), F.col("id")).alias("id__"), F.col("tkey").alias("tkey__"), F.col("n_dropped").alias(dropped), F.col("keep").alias(keep))
+    left = docs.withColumn(own, text_key(F.col(text_col)))
+    joined = left.join(right.hint("shuffle_hash"), left[id_col].eqNullSafe(right["id__"]) & (left[own] == right["tkey__"]), "left")
+    return joined.drop(right["id__"], right["tkey__"]).drop(own), keep, dropped
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns of the whole ``documents`` table, derived from the bitmaps."""
+    """Contract columns of the whole ``documents`` table, derived from the bitmaps. A null text is one empty line;
+    null and repeated ids as in ``line_bitmaps``, each repeated row with a result of its own; extra columns are
+    ignored; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined, keep_col, dropped_col = with_bitmaps(docs, line_bitmaps(docs))
 
     def run(batches):
         for batch in batches:
             hashes, counts = [], []
-            for text, keep in zip(batch.column("text"), batch.column("keep__")):
+            for text, keep in zip(batch.column("text"), batch.column(keep_col)):
                 text = text.as_py()
                 hashes.append(hashlib.sha256(apply_bitmap(text, keep.as_py()).encode()).hexdigest())
                 counts.append((text or "").count("\n") + 1)
-            dropped = batch.column("dropped__").fill_null(0)
+            dropped = batch.column(dropped_col).fill_null(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), dropped, pa.array(hashes)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(tidy(run), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 ORACLE = r"""
@@ -163,14 +168,17 @@ FROM v GROUP BY doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each text by its kept lines; a document left without any text goes."""
+    """Replaces each text by its kept lines; a document left without any text goes, null and empty texts among
+    them. Null and repeated ids as in ``line_bitmaps``; extra columns stay, whatever their names; an empty
+    table stays empty."""
     small_batches(spark)
     cols = docs.columns
+    joined, keep_col, _ = with_bitmaps(docs, line_bitmaps(docs))
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py(), k.as_py()) for t, k in zip(batch.column("text"), batch.column("keep__"))]
+            texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py(), k.as_py()) for t, k in zip(batch.column("text"), batch.column(keep_col))]
             yield batch.select(cols).set_column(cols.index("text"), "text", pa.array(texts, pa.string()))
 
-    kept = with_bitmaps(docs, line_bitmaps(docs)).mapInArrow(tidy(run), docs.schema)
+    kept = joined.mapInArrow(tidy(run), docs.schema)
     return kept.filter(F.length(F.trim("text", F.lit(SPACES))) > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -224,11 +224,14 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns over the whole ``documents`` table."""
+    """Contract columns over the whole ``documents`` table. Odd rows as in ``pack``; a worker holds the words and
+    ids of one whole text, some 20 bytes a byte of it."""
     return _packed(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left; the rows are those of the query."""
+    """Packs what is left; the rows are those of the query. Null and empty texts are the end id alone, null ids are
+    carried along, repeated rows are packed each on its own, extra columns are ignored, and an empty table gives
+    no rows."""
     small_batches(spark)
     return _packed(docs)

@@ -1,6 +1,7 @@
 """The stages, each on what its predecessor kept, against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrygraph.llm import op9_simhash
@@ -45,3 +46,16 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
             assert docs.columns == odd_docs.columns
             assert {as_id(r["doc_id"]) for r in docs.collect()} <= before
         assert np.isin([r["length"] > 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()], [True]).all()
+
+
+def test_stages_keep_columns_with_reserved_names(spark, odd_docs):
+    """Extra columns named like those that the stages add, in any letter case."""
+    names = ["lang__", "score__", "own_key__", "ID__", "tkey__", "keep__", "Dropped__", "settled__", "windows__", "open__", "row__", "gone__", "way__", "key__", "fp", "component_id", "h1", "root"]
+    docs = odd_docs.drop("open").withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    want = list(range(len(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = persist(stage(spark, docs, SF), name)
+        assert docs.columns[-len(names) :] == names
+        found = docs.collect()
+        assert found and all([r[n] for n in names] == want for r in found)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()

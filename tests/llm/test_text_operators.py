@@ -60,8 +60,8 @@ def test_words_of_texts():
 
 def test_line_dedup(odd_docs, no_docs):
     maps = op6_lines.line_bitmaps(odd_docs)
-    got = op6_lines.with_bitmaps(odd_docs.select("doc_id", "text"), maps).collect()
-    made = sorted(((as_id(r["doc_id"]), op6_lines.apply_bitmap(r["text"], r["keep__"])) for r in got))
+    joined, keep, _ = op6_lines.with_bitmaps(odd_docs.select("doc_id", "text"), maps)
+    made = sorted(((as_id(r["doc_id"]), op6_lines.apply_bitmap(r["text"], r[keep])) for r in joined.collect()))
     assert made == sorted((as_id(i), t) for i, t in brute_lines([(r["doc_id"], r["text"]) for r in odd_docs.collect()]))
     assert op6_lines.line_bitmaps(no_docs).count() == 0
 
