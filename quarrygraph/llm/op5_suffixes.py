@@ -2,9 +2,9 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
-1. Anchors. Of every window of ``length`` bytes the k-gram with the least hash is an anchor. Equal windows
-   have the same anchor at the same place, so windows can only repeat where anchors do. An anchor's context
-   is all windows that it can stand for. Tasks send hashes of anchors (40 bits: two that meet only cost work)
+1. Anchors. Of every window of ``length`` bytes the first k-gram with the least hash is its anchor. Equal
+   windows have the same anchor at the same place, so windows can only repeat where anchors do. An anchor's
+   context is the run of windows that it stands for; every window is in one context. Tasks send hashes of anchors (40 bits: two that meet only cost work)
    and contexts (128 bits: equal ones count as equal bytes), packed, to buckets;
    a context that a task has already seen in a smaller document is settled there, so a passage that very
    many documents hold sends one entry a task.
@@ -12,7 +12,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    document has. What is left are anchors with different contexts.
 3. Their contexts (texts of less than two windows) are gathered by anchor. Each shard of them is sorted by
    itself into a Burrows-Wheeler transform. The shards' transforms are merged by refining their interleave
-   one symbol a round; no merged suffixes are sorted. The round in which two neighbours part is the length
+   one symbol a round; no merged suffixes are sorted, and only those that the start of a window can reach are
+   followed. The round in which two neighbours part is the length
    of their common prefix; neighbours together after ``length`` rounds are repeated intervals. Suffixes
    alone in their interval leave the refinement, since what stands before them is unique as well. An anchor
    with more contexts than a merge takes is merged window by window, in parts by the windows' hashes.
@@ -40,6 +41,11 @@ _SHARD = 1 << 18
 _MERGE = 3 << 20
 _A = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M5 = np.uint64((1 << 40) - 1)
+#: Low bits of a k-gram's hash that give way to its place in a block.
+_PLACE = np.uint64((1 << 20) - 1)
+_NONE = np.uint64((1 << 64) - 1)
+#: A context: its first window, the bytes before its anchor, and how many windows it holds.
+_CONTEXT = np.dtype([("at", "<u4"), ("left", "u1"), ("n", "u1")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -85,34 +91,31 @@ def _context_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, left
     return np.frombuffer(b"".join([digest(raw[s:e], n) for s, e, n in zip(starts.tolist(), ends.tolist(), left.tolist())]), "<u8").reshape(-1, 2)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, anchor hash, two words of context hash) of all anchors of a run of texts, in order of place."""
-    w, reach = length - k + 1, length - k
-    total = len(data)
-    places, hashes, contexts = [], [], []
-    for at in range(0, total, _BLOCK):
-        low, high = max(0, at - w), min(total, at + _BLOCK + length + w)
-        x = data[low:high].astype(np.uint64) + np.uint64(1)
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(first window, bytes before the anchor, windows, anchor hash, two words of context hash) of the contexts of
+    a run of texts, in order of place."""
+    w, total = length - k + 1, len(data)
+    out = []
+    for at in range(0, total, _BLOCK):  # a context that crosses a border counts as two
+        high = min(total, at + _BLOCK + length - 1)
+        x = data[at:high].astype(np.uint64) + np.uint64(1)
         if len(x) < length:
-            continue
+            break
         h = _kgrams(x, k)
-        m = _sliding(h, w, np.minimum)
-        inside = np.diff(np.clip(offsets, low, high))
-        ends, begins = np.repeat(offsets[1:], inside), np.repeat(offsets[:-1], inside)
-        m[np.arange(low, low + len(m)) + length > ends[: len(m)]] = 0  # windows that no text holds
-        top = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), m, np.zeros(w - 1, np.uint64)]), w, np.maximum)[: len(h)]
-        found = np.flatnonzero((top == h[: len(top)]) & (top > 0))
-        found = found[(found + low >= at) & (found + low < at + _BLOCK)]
-        if not len(found):
-            continue
-        p = found + low
-        left, right = np.minimum(reach, p - begins[found]), np.minimum(length, ends[found] - p)
-        places.append(p)
-        hashes.append(h[found])
-        contexts.append(_context_hashes(data[low:high], found - left, found + right, left))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
-    return np.concatenate(places), np.concatenate(hashes), np.concatenate(contexts)
+        m = _sliding((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), w, np.minimum)
+        inside = np.diff(np.clip(offsets, at, high))
+        m[np.arange(at, at + len(m)) + length > np.repeat(offsets[1:], inside)[: len(m)]] = _NONE  # windows that no text holds
+        change = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        n = np.diff(np.append(change, len(m)))
+        real = m[change] != _NONE
+        first, n = change[real], n[real]
+        place = (m[first] & _PLACE).astype(np.int64)
+        left = place - first
+        out.append((first + at, left, n, _mix(h[place]), _context_hashes(data[at:high], first, first + n - 1 + length, left)))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+    return tuple(np.concatenate([o[j] for o in out]) for j in range(5))
 
 
 def _five(h: np.ndarray) -> bytes:
@@ -125,28 +128,31 @@ def _from_five(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _pack(ids: np.ndarray, tkeys: np.ndarray, doc: np.ndarray, pos: np.ndarray, level: int = 1) -> bytes:
-    """Entries sorted by document and place: a table of documents, their counts and the steps between places."""
+def _pack(ids: np.ndarray, tkeys: np.ndarray, doc: np.ndarray, where: np.ndarray, level: int = 1) -> bytes:
+    """Contexts sorted by document and place: a table of documents, their counts and the steps between places."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    steps = np.diff(pos, prepend=0)
-    steps[first] = pos[first]
+    at = where["at"].astype(np.int64)
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
     used = doc[first]
     body = ids[used].astype("<i8").tobytes() + tkeys[used].astype("<u4").tobytes() + np.diff(np.append(first, len(doc))).astype("<u4").tobytes() + steps.astype("<u4").tobytes()
-    return np.array([len(first), len(doc)], "<u4").tobytes() + zstandard.ZstdCompressor(level).compress(body)
+    return np.array([len(first), len(doc)], "<u4").tobytes() + zstandard.ZstdCompressor(level).compress(body + where["left"].tobytes() + where["n"].tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, tkeys) of the documents, and (document, place) of the entries."""
+    """(ids, tkeys) of the documents, and (document, context) of the entries."""
     docs, n = np.frombuffer(blob[:8], "<u4").tolist()
     body = zstandard.ZstdDecompressor().decompress(blob[8:])
     ids = np.frombuffer(body, "<i8", docs)
     tkeys = np.frombuffer(body, "<u4", docs, 8 * docs).astype(np.int64)
     counts = np.frombuffer(body, "<u4", docs, 12 * docs).astype(np.int64)
-    steps = np.frombuffer(body, "<u4", n, 16 * docs).astype(np.int64)
-    pos = np.cumsum(steps)
+    run = np.cumsum(np.frombuffer(body, "<u4", n, 16 * docs).astype(np.int64))
     starts = np.cumsum(counts) - counts
-    base = np.where(starts > 0, pos[starts - 1], 0)
-    return ids, tkeys, np.repeat(np.arange(docs), counts), pos - np.repeat(base, counts)
+    where = np.empty(n, _CONTEXT)
+    where["at"] = run - np.repeat(np.where(starts > 0, run[starts - 1], 0), counts)
+    where["left"] = np.frombuffer(body, np.uint8, n, 16 * docs + 4 * n)
+    where["n"] = np.frombuffer(body, np.uint8, n, 16 * docs + 5 * n)
+    return ids, tkeys, np.repeat(np.arange(docs), counts), where
 
 
 def _settle(m, c, doc_id):
@@ -171,7 +177,7 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
         def flush():
             nonlocal held, count, base
             ids, tkeys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            doc, pos, m, c = (np.concatenate([h[j] for h in held]) for j in range(2, 6))
+            doc, where, m, c = (np.concatenate([h[j] for h in held]) for j in range(2, 6))
             held, count, base = [], 0, 0
             if not len(doc):
                 return
@@ -182,15 +188,15 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
             if settled.any():
                 buckets.append(int(ids[doc[settled][0]] % n_buckets))
                 kinds.append(1)
-                blobs.append(_pack(ids, tkeys, doc[settled], pos[settled]))
-            doc, pos, m, c = doc[~settled], pos[~settled], m[~settled], c[~settled]
+                blobs.append(_pack(ids, tkeys, doc[settled], where[settled]))
+            doc, where, m, c = doc[~settled], where[~settled], m[~settled], c[~settled]
             of = ((m >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             cut = np.searchsorted(of[order], np.arange(n_buckets + 1))
             for b in range(n_buckets):
                 rows = order[cut[b] : cut[b + 1]]
                 if len(rows):
-                    head = _pack(ids, tkeys, doc[rows], pos[rows])
+                    head = _pack(ids, tkeys, doc[rows], where[rows])
                     buckets.append(b)
                     kinds.append(0)
                     blobs.append(np.array([len(head)], "<u4").tobytes() + head + _five(m[rows] & _M5) + c[rows].astype("<u8").tobytes())
@@ -199,11 +205,13 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
         for batch in batches:
             for piece in text_slices(batch, "text", 1 << 20):
                 data, offsets = utf8(piece.column(2))
-                p, m, c = anchors(data, offsets, length, k)
-                doc = np.searchsorted(offsets, p, side="right") - 1
-                held.append((piece.column(0).to_numpy(), piece.column(1).to_numpy(), doc + base, p - offsets[doc], m, c))
+                at, left, n, m, c = anchors(data, offsets, length, k)
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                where = np.empty(len(at), _CONTEXT)
+                where["at"], where["left"], where["n"] = at - offsets[doc], left, n
+                held.append((piece.column(0).to_numpy(), piece.column(1).to_numpy(), doc + base, where, m, c))
                 base += piece.num_rows
-                count += len(p)
+                count += len(at)
                 if count >= _FLUSH:
                     yield from flush()
         if held:
@@ -212,13 +220,13 @@ def _anchor_rows(n_buckets: int, length: int, k: int):
     return run
 
 
-def _by_document(ids, tkeys, doc_keys, pos):
-    """Rows (id, tkey, places) of entries; doc_keys index ids and tkeys."""
-    order = np.lexsort((pos, doc_keys))
-    d, p = doc_keys[order], pos[order].astype("<u4")
+def _by_document(ids, tkeys, doc_keys, found):
+    """Rows (id, tkey, bytes of what is found in it); doc_keys index ids and tkeys."""
+    order = np.argsort(doc_keys, kind="stable")
+    d, found = doc_keys[order], found[order]
     first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, int)
     ends = np.append(first[1:], len(d))
-    return ids[d[first]], tkeys[d[first]], [p[s:e].tobytes() for s, e in zip(first, ends)]
+    return ids[d[first]], tkeys[d[first]], [found[s:e].tobytes() for s, e in zip(first, ends)]
 
 
 _VERDICT = "id bigint, tkey bigint, settled binary, open binary"
@@ -237,17 +245,17 @@ def _judge(group: pa.Table) -> pa.Table:
     for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob")):
         blob = blob.as_py()
         if kind == 1:
-            ids, tkeys, doc, pos = _unpack(blob)
-            out.append((*_by_document(ids, tkeys, doc, pos), True))
+            ids, tkeys, doc, where = _unpack(blob)
+            out.append((*_by_document(ids, tkeys, doc, where), True))
             continue
         n = int(np.frombuffer(blob[:4], "<u4")[0])
-        ids, tkeys, doc, pos = _unpack(blob[4 : 4 + n])
-        cut = 4 + n + 5 * len(pos)
-        m = _from_five(np.frombuffer(blob, np.uint8, 5 * len(pos), 4 + n))
-        parts.append((ids, tkeys, doc + base, pos, m, np.frombuffer(blob[cut:], "<u8").reshape(-1, 2)))
+        ids, tkeys, doc, where = _unpack(blob[4 : 4 + n])
+        cut = 4 + n + 5 * len(where)
+        m = _from_five(np.frombuffer(blob, np.uint8, 5 * len(where), 4 + n))
+        parts.append((ids, tkeys, doc + base, where, m, np.frombuffer(blob[cut:], "<u8").reshape(-1, 2)))
         base += len(ids)
     if parts:
-        ids, tkeys, doc, pos, m, c = (np.concatenate([p[j] for p in parts]) for j in range(6))
+        ids, tkeys, doc, where, m, c = (np.concatenate([p[j] for p in parts]) for j in range(6))
         order, sure, new_m, new = _settle(m, c, ids[doc])
         group_of = np.cumsum(new_m) - 1
         starts = np.flatnonzero(new_m)
@@ -255,8 +263,8 @@ def _judge(group: pa.Table) -> pa.Table:
         d = ids[doc[order]]
         differ = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         rest = ~sure & (several & differ)[group_of]
-        out.append((*_by_document(ids, tkeys, doc[order[sure]], pos[order[sure]]), True))
-        out.append((*_by_document(ids, tkeys, doc[order[rest]], pos[order[rest]]), False))
+        out.append((*_by_document(ids, tkeys, doc[order[sure]], where[order[sure]]), True))
+        out.append((*_by_document(ids, tkeys, doc[order[rest]], where[order[rest]]), False))
     found = _verdicts(out)
     del parts, out
     give_back()
@@ -272,8 +280,6 @@ def _run_hash(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _context_rows(n_buckets: int, length: int, k: int):
-    reach = length - k
-
     def run(batches):
         for batch in batches:
             lists = batch.column("open")
@@ -283,15 +289,13 @@ def _context_rows(n_buckets: int, length: int, k: int):
             for piece in text_slices(batch.take(pa.array(has)), "text", 16 << 20):
                 data, offsets = utf8(piece.column("text"))
                 ids, tkeys = piece.column("id").to_numpy(), piece.column("tkey").to_numpy()
-                pos = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in piece.column("open").to_pylist()]
-                doc = np.repeat(np.arange(len(pos)), [len(p) for p in pos])
+                lists = [np.sort(np.frombuffer(b"".join(x), _CONTEXT), order="at") for x in piece.column("open").to_pylist()]
+                doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 if not len(doc):
                     continue
-                pos = np.concatenate([np.sort(p) for p in pos])
-                size = np.diff(offsets)[doc]
-                left, right = np.minimum(reach, pos), np.minimum(length, size - pos)
-                at = offsets[doc] + pos
-                of = (_run_hash(data, at, k) % np.uint64(n_buckets)).astype(np.int64)
+                where = np.concatenate(lists)
+                at = offsets[doc] + where["at"]
+                of = (_run_hash(data, at + where["left"], k) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
                 cut = np.searchsorted(of[order], np.arange(n_buckets + 1))
                 buckets, blobs = [], []
@@ -299,9 +303,8 @@ def _context_rows(n_buckets: int, length: int, k: int):
                     rows = order[cut[b] : cut[b + 1]]
                     if not len(rows):
                         continue
-                    head = _pack(ids, tkeys, doc[rows], pos[rows])
-                    sizes = (left + right)[rows]
-                    body = left[rows].astype(np.uint8).tobytes() + sizes.astype(np.uint8).tobytes() + data[gather(at[rows] - left[rows], sizes)].tobytes()
+                    head = _pack(ids, tkeys, doc[rows], where[rows])
+                    body = data[gather(at[rows], where["n"][rows].astype(np.int64) - 1 + length)].tobytes()
                     buckets.append(b)
                     blobs.append(np.array([len(head)], "<u4").tobytes() + head + zstandard.ZstdCompressor(3).compress(body))
                 yield _blob_rows(buckets, [0] * len(buckets), blobs)
@@ -338,8 +341,11 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int = 64) -> np.ndar
 def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of shard transforms refined ``rounds`` times, as places of the joined text, with the number of
     the interval of each: places of one interval share their first ``rounds`` bytes. Only intervals of two or
-    more are left. A shard is (text without 0, end of each place's string)."""
-    symbols, before, order, base, entries = [], [], [], 0, 0
+    more are left. A shard is (text without 0, end of each place's string).
+
+    A suffix is refined from shorter ones, so only those with ``rounds`` bytes before them in their string,
+    from which the rounds lead to the start of such an interval, are followed from the first round on."""
+    symbols, before, order, reach, base, entries = [], [], [], [], 0, 0
     for text, ends in shards:
         sa = suffix_order(text, ends)
         n = len(sa)
@@ -352,15 +358,16 @@ def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tu
         symbols += [text[last], bwt]
         before += [rank[last] + entries, rank[sa - 1] + entries]  # where the suffix one longer stands in its shard's order
         order += [np.full(len(last), -1), sa + base]
+        begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        reach += [last + 1 - begin[last] >= rounds, (np.arange(n) - begin >= rounds)[sa]]
         base += n
         entries += n + len(last)
     symbols, before, order = np.concatenate(symbols), np.concatenate(before).astype(np.int32), np.concatenate(order)
-    held = np.arange(entries, dtype=np.int32)  # shard orders, one after the other: all agree on no symbol
-    interval = np.zeros(entries, np.int32)
+    held = np.flatnonzero(np.concatenate(reach)).astype(np.int32)  # shard orders, one after the other: all agree on no symbol
+    interval = np.zeros(len(held), np.int32)
     for _ in range(rounds):
         c = symbols[held]
-        real = np.flatnonzero(c)
-        by = real[np.argsort(c[real], kind="stable")]
+        by = np.argsort(c, kind="stable")
         held, c, interval = before[held[by]], c[by], interval[by]
         if not len(held):
             break
@@ -493,14 +500,12 @@ def _compare(length: int, k: int):
         for blob in group.column("blob"):
             blob = blob.as_py()
             n = int(np.frombuffer(blob[:4], "<u4")[0])
-            ids, tkeys, doc, pos = _unpack(blob[4 : 4 + n])
-            body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)
-            e = len(pos)
-            parts.append((ids, tkeys, doc + base, pos, body[:e].astype(np.int64), body[e : 2 * e].astype(np.int64), body[2 * e :]))
+            ids, tkeys, doc, where = _unpack(blob[4 : 4 + n])
+            parts.append((ids, tkeys, doc + base, where, np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)))
             base += len(ids)
-        ids, tkeys, doc, pos, left, sizes, data = (np.concatenate([p[j] for p in parts]) for j in range(7))
-        context, offset = repeated_places(data, sizes, left, ids[doc], length, k)
-        got = _by_document(ids, tkeys, doc[context], pos[context] - left[context] + offset)
+        ids, tkeys, doc, where, data = (np.concatenate([p[j] for p in parts]) for j in range(5))
+        context, offset = repeated_places(data, where["n"].astype(np.int64) - 1 + length, where["left"].astype(np.int64), ids[doc], length, k)
+        got = _by_document(ids, tkeys, doc[context], (where["at"][context] + offset).astype("<u4"))
         del parts, data
         give_back()
         return pa.table({"id": pa.array(got[0], pa.int64()), "tkey": pa.array(got[1], pa.int64()), "windows": pa.array(got[2], pa.binary())})
@@ -508,12 +513,12 @@ def _compare(length: int, k: int):
     return run
 
 
-def _spans(n: int, settled: list[bytes], windows: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(settled: list[bytes], windows: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs of one document as starts and ends."""
-    p = np.frombuffer(b"".join(settled), "<u4").astype(np.int64)
+    p = np.frombuffer(b"".join(settled), _CONTEXT)
     q = np.frombuffer(b"".join(windows), "<u4").astype(np.int64)
-    s = np.concatenate([np.maximum(p - (length - k), 0), q])
-    e = np.concatenate([np.minimum(p + length, n), q + length])
+    s = np.concatenate([p["at"].astype(np.int64), q])
+    e = np.concatenate([p["at"].astype(np.int64) + p["n"] - 1 + length, q + length])
     if not len(s):
         return s, e
     order = np.argsort(s, kind="stable")
@@ -548,12 +553,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return known.drop(open_).join(windows.hint("shuffle_hash"), [own_id, own_key], "left").drop(own_id, own_key), settled, windows_of
 
 
-def cut(text: str | None, settled: list[bytes] | None, windows: list[bytes] | None, length: int = LENGTH, k: int = K) -> tuple[bytes, int, int, int]:
+def cut(text: str | None, settled: list[bytes] | None, windows: list[bytes] | None, length: int = LENGTH) -> tuple[bytes, int, int, int]:
     """(remaining bytes, bytes before, bytes removed, removed runs)."""
     raw = (text or "").encode()
     if not settled and not windows:
         return raw, len(raw), 0, 0
-    s, e = _spans(len(raw), settled or [], windows or [], length, k)
+    s, e = _spans(settled or [], windows or [], length)
     kept = b"".join([raw[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(raw)])])
     return kept, len(raw), len(raw) - len(kept), len(s)
 

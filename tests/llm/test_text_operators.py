@@ -127,13 +127,28 @@ def contexts_of(texts):
     data, sizes, left, docs, at = [], [], [], [], []
     for d, t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
-        places, *_ = op5_suffixes.anchors(raw, np.array([0, len(raw)]))
-        for p in places.tolist():
-            lo, hi = max(p - 30, 0), min(p + 50, len(raw))
-            data.append(raw[lo:hi]), sizes.append(hi - lo), left.append(p - lo), docs.append(d), at.append(lo)
+        for lo, before, n in zip(*op5_suffixes.anchors(raw, np.array([0, len(raw)]))[:3]):
+            data.append(raw[lo : lo + n + 49]), sizes.append(n + 49), left.append(before), docs.append(d), at.append(lo)
     return np.concatenate(data), np.array(sizes), np.array(left), np.array(docs), np.array(at)
 
 
+def test_every_window_is_in_one_context():
+    r = random.Random(3)
+    texts = [prose(k, r.randrange(1, 60)) for k in range(30)] + ["", "a" * 500, "ab" * 90, "x" * 49, "y" * 50]
+    data, offsets = utf8(pa.array(texts))
+    at, left, n, m, c = op5_suffixes.anchors(data, offsets)
+    got = sorted(s + j for s, w in zip(at.tolist(), n.tolist()) for j in range(w))
+    assert got == [p for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for p in range(s, e - 49)]
+    assert ((left >= 0) & (left + 1 - n >= 0) & (left <= 30) & (n <= 31)).all()
+    grams = {}
+    for s, b, h in zip(at.tolist(), left.tolist(), m.tolist()):
+        assert grams.setdefault(data[s + b : s + b + 20].tobytes(), h) == h
+    whole = {}
+    for s, w, b, h in zip(at.tolist(), n.tolist(), left.tolist(), map(tuple, c.tolist())):
+        assert whole.setdefault((data[s : s + w + 49].tobytes(), b), h) == h
+    assert len(set(whole.values())) == len(whole)
+
+
 @pytest.mark.parametrize(("merge", "shard"), [(1 << 9, 1 << 8), (1 << 13, 1 << 9), (3 << 20, 1 << 10), (3 << 20, 1 << 18)])
 def test_merges_of_any_size_find_the_same_windows(monkeypatch, merge, shard):
     """Cut between anchors, within one anchor's contexts, and between shards; against the 50-byte strings themselves."""
