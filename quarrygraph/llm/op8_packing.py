@@ -11,8 +11,11 @@ k - 1 ids for a bin of class k, and none elsewhere.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from quarrygraph.llm.common import default_tokenizer, gather, small_batches, tab
 
 CAPACITY = 4096
 END_ID = 2
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 _TRAILING = b".,!?;:"
 #: Every special token of the tokenizer begins so.
 _SPECIAL = b"<|"
@@ -34,8 +37,8 @@ class WordEncoder:
     ids do not depend on its neighbours. Words go to the tokenizer as they stand, since it matches its
     special tokens and composes characters before it lower-cases; only words of ASCII that can hold no
     special token are lower-cased first, for fewer distinct ones. Trailing ASCII punctuation after a
-    letter is a token run of its own, so it is encoded apart. The cache is emptied when it holds
-    ``_CACHE_WORDS`` words.
+    letter is a token run of its own, so it is encoded apart. Words met before are found by Arrow, all of
+    a slice at once; the cache is emptied when it holds ``_CACHE_WORDS`` words.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,60 +47,77 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without offsets where it can
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.words = pa.array([], pa.binary())  # as they stand in texts
+        self.parts = np.zeros((1 << 16, 2), np.int64)  # head and tail of each, as numbers of pieces
+        self.pieces = {b"": 0}  # as they are encoded
+        self.spans = np.zeros((1 << 16, 2), np.int64)  # where the ids of each piece begin, and how many
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.spans = np.zeros((1 << 16, 2), np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                ids = got.ids
-                n = len(ids)
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + n] = ids
-                k = len(self.known)
-                if k == len(self.spans):
-                    self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-                self.spans[k] = self.used, n
-                self.known[word] = k
-                self.used += n
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a run of texts, and the n+1 offsets of each text's ids."""
-        data, offsets = utf8(column)
-        found, bounds = words(data, offsets)
-        if not len(found):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        coded = found.dictionary_encode()
-        if len(self.known) > _CACHE_WORDS:
-            self.clear()
+    def _learn(self, new: pa.Array) -> None:
         heads, tails = [], []
-        for w in coded.dictionary.to_pylist():
+        for w in new.to_pylist():
             if w.isascii() and _SPECIAL not in w:
                 w = w.lower()
             head = w.rstrip(_TRAILING)
-            if head != w and head[-1:].isalpha():
+            if head[-1:].isalpha():
                 heads.append(head)
                 tails.append(w[len(head) :])
             else:
                 heads.append(w)
                 tails.append(b"")
-        self._learn([w for w in dict.fromkeys([*heads, *tails]) if w not in self.known])
-        known = self.known
-        spans = np.array([(known[h], known[t]) for h, t in zip(heads, tails)], np.int64)
-        spans = self.spans[spans[coded.indices.to_numpy()].reshape(-1)]
+        pieces = self.pieces
+        fresh = [w for w in dict.fromkeys(heads + tails) if w not in pieces]
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            ids = [got.ids for got in self.encode_batch([w.decode() for w in part], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            self.ids = _room(self.ids, self.used + len(flat))
+            self.ids[self.used : self.used + len(flat)] = flat
+            first = len(pieces)
+            self.spans = _room(self.spans, first + len(part))
+            self.spans[first : first + len(part), 0] = self.used + np.cumsum(sizes) - sizes
+            self.spans[first : first + len(part), 1] = sizes
+            self.used += len(flat)
+            pieces.update(zip(part, range(first, first + len(part))))
+        count = len(self.words)
+        self.parts = _room(self.parts, count + len(new))
+        self.parts[count : count + len(new), 0] = [pieces[w] for w in heads]
+        self.parts[count : count + len(new), 1] = [pieces[w] for w in tails]
+        self.words = pa.concat_arrays([self.words, new])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, and the n+1 offsets of each text's ids."""
+        data, offsets = utf8(column)
+        found, bounds = words(data, offsets)
+        if not len(found):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        coded = found.dictionary_encode()
+        if len(self.words) > _CACHE_WORDS:
+            self.clear()
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        if unknown.any():
+            at[unknown] = np.arange(len(self.words), len(self.words) + unknown.sum())
+            self._learn(coded.dictionary.filter(pa.array(unknown)))
+        spans = self.spans[self.parts[at]][coded.indices.to_numpy()].reshape(-1, 2)
         ids = self.ids[gather(spans[:, 0], spans[:, 1])]
         ends = np.concatenate([[0], np.cumsum(spans[:, 1])])
         return ids, ends[2 * bounds]
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, grown to hold ``n`` rows."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -201,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             kind = batch.column(0).type
-            for piece in text_slices(batch, "text__", 2 << 20):
+            for piece in text_slices(batch, "text__"):
                 ids, ends = code.encode(piece.column(1))
                 out: list = []
                 for k, doc in enumerate(piece.column(0).to_pylist()):
