@@ -12,6 +12,7 @@ k - 1 ids for a bin of class k, and none elsewhere.
 from __future__ import annotations
 
 import itertools
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,14 @@ from quarrygraph.llm.common import default_tokenizer, gather, small_batches, tab
 
 CAPACITY = 4096
 END_ID = 2
-_CACHE_WORDS = 500_000
-_TRAILING = b".,!?;:"
+_CACHE_WORDS = 1_000_000
+_TRAILING = string.punctuation
 #: Every special token of the tokenizer begins so.
-_SPECIAL = b"<|"
+_SPECIAL = "<|"
+#: Words of one run of letters in lower case; ASCII and the Latin letters U+00C0 to U+024F, which composing leaves alone; U+0130 becomes two in lower case.
+_LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+_WORD_END = "</w>"
+_LATIN = "^[\\x00-\\x7F\u00c0-\u012f\u0131-\u024f]*$"
 
 
 class WordEncoder:
@@ -35,10 +40,10 @@ class WordEncoder:
 
     Right for tokenizers that never join ids over ASCII white space and that lower-case: a word's
     ids do not depend on its neighbours. Words go to the tokenizer as they stand, since it matches its
-    special tokens and composes characters before it lower-cases; only words of ASCII that can hold no
-    special token are lower-cased first, for fewer distinct ones. Trailing ASCII punctuation after a
-    letter is a token run of its own, so it is encoded apart. Words met before are found by Arrow, all of
-    a slice at once; the cache is emptied when it holds ``_CACHE_WORDS`` words.
+    special tokens and composes characters before it lower-cases; only words of composed Latin letters that
+    can hold no special token are lower-cased first, for fewer distinct ones. Of these, ASCII punctuation
+    after a last letter is a token run of its own, so it is encoded apart. The cache is emptied when it holds
+    ``_CACHE_WORDS`` words.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,48 +54,55 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without offsets where it can
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words = pa.array([], pa.binary())  # as they stand in texts
-        self.parts = np.zeros((1 << 16, 2), np.int64)  # head and tail of each, as numbers of pieces
-        self.pieces = {b"": 0}  # as they are encoded
-        self.spans = np.zeros((1 << 16, 2), np.int64)  # where the ids of each piece begin, and how many
+        self.known: dict[bytes, int] = {}  # words as they stand in texts
+        self.spans = np.zeros((1 << 16, 4), np.int32)  # of the ids of each word's head and tail: first, number
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
-    def _learn(self, new: pa.Array) -> None:
-        heads, tails = [], []
-        for w in new.to_pylist():
-            if w.isascii() and _SPECIAL not in w:
-                w = w.lower()
-            head = w.rstrip(_TRAILING)
-            if head[-1:].isalpha():
-                heads.append(head)
-                tails.append(w[len(head) :])
-            else:
-                heads.append(w)
-                tails.append(b"")
-        pieces = self.pieces
-        fresh = [w for w in dict.fromkeys(heads + tails) if w not in pieces]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            ids = [got.ids for got in self.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-            self.ids = _room(self.ids, self.used + len(flat))
-            self.ids[self.used : self.used + len(flat)] = flat
-            first = len(pieces)
-            self.spans = _room(self.spans, first + len(part))
-            self.spans[first : first + len(part), 0] = self.used + np.cumsum(sizes) - sizes
-            self.spans[first : first + len(part), 1] = sizes
-            self.used += len(flat)
-            pieces.update(zip(part, range(first, first + len(part))))
-        count = len(self.words)
-        self.parts = _room(self.parts, count + len(new))
-        self.parts[count : count + len(new), 0] = [pieces[w] for w in heads]
-        self.parts[count : count + len(new), 1] = [pieces[w] for w in tails]
-        self.words = pa.concat_arrays([self.words, new])
+    def _store(self, flat: np.ndarray, counts: np.ndarray, spans: np.ndarray, rows: np.ndarray) -> None:
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.ids[self.used : self.used + len(flat)] = flat
+        spans[rows, 0] = self.used + np.cumsum(counts) - counts
+        spans[rows, 1] = counts
+        self.used += len(flat)
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = pa.array(new, pa.binary()).cast(pa.string())
+        simple = pc.and_(pc.match_substring_regex(texts, _LATIN), pc.invert(pc.match_substring(texts, _SPECIAL)))
+        texts = pc.if_else(simple, pc.utf8_lower(texts), texts)
+        heads = pc.utf8_rtrim(texts, characters=_TRAILING)
+        heads = pc.if_else(pc.and_(simple, pc.match_substring_regex(heads, r"\p{L}$")), heads, texts)
+        data, ends = utf8(texts)
+        sizes = pc.binary_length(heads).to_numpy()
+        left = np.diff(ends) - sizes
+        tails = pa.Array.from_buffers(pa.string(), len(new), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.py_buffer(data[gather(ends[:-1] + sizes, left)])])
+        pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
+        found = pieces.dictionary
+        spans = np.zeros((len(found), 2), np.int32)
+        letters = pc.match_substring_regex(found, _LETTERS).to_numpy(zero_copy_only=False)
+        for at in range(0, len(found), 20_000):
+            part = found.slice(at, 20_000)
+            alone = letters[at : at + 20_000]
+            # a word of letters is one run, whose last id alone is one of a word's end, so many are encoded as one text
+            whole = self.encode_batch([" ".join(part.filter(pa.array(alone)).to_pylist())], add_special_tokens=False)[0].ids
+            whole = np.array(whole, np.uint32)
+            counts = np.diff(np.flatnonzero(self.ends_word[whole]), prepend=-1)
+            if len(counts) != alone.sum():
+                raise ValueError("the tokenizer does not mark the ends of words")
+            self._store(whole, counts, spans, at + np.flatnonzero(alone))
+            ids = [got.ids for got in self.encode_batch(part.filter(pa.array(~alone)).to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts, spans, at + np.flatnonzero(~alone))
+        first = len(self.known)
+        self.spans = _room(self.spans, first + len(new))
+        self.spans[first : first + len(new)] = spans[pieces.indices.to_numpy()].reshape(2, -1, 2).transpose(1, 0, 2).reshape(-1, 4)
+        self.known.update(zip(new, range(first, first + len(new))))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and the n+1 offsets of each text's ids."""
@@ -99,15 +111,14 @@ class WordEncoder:
         if not len(found):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = found.dictionary_encode()
-        if len(self.words) > _CACHE_WORDS:
+        if len(self.known) > _CACHE_WORDS:
             self.clear()
-        at = pc.index_in(coded.dictionary, value_set=self.words)
-        unknown = at.is_null().to_numpy(zero_copy_only=False)
-        at = at.fill_null(0).to_numpy().copy()
-        if unknown.any():
-            at[unknown] = np.arange(len(self.words), len(self.words) + unknown.sum())
-            self._learn(coded.dictionary.filter(pa.array(unknown)))
-        spans = self.spans[self.parts[at]][coded.indices.to_numpy()].reshape(-1, 2)
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        new = [w for w in distinct if w not in known]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        spans = self.spans[at][coded.indices.to_numpy()].reshape(-1, 2).astype(np.int64)
         ids = self.ids[gather(spans[:, 0], spans[:, 1])]
         ends = np.concatenate([[0], np.cumsum(spans[:, 1])])
         return ids, ends[2 * bounds]
