@@ -158,7 +158,10 @@ on_graph(
     ctes=_PR,
 )(lambda g: centrality.find_critical_models(g))
 on_graph("direct_dependents", "SELECT target_id AS node_id, count(DISTINCT source_id) AS direct_dependents FROM edges GROUP BY 1")(centrality.direct_dependents)
-_CC = f"{FLOW}, pair AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), hop AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT h.a, p.b FROM hop h JOIN pair p ON h.b = p.a), comp AS (SELECT a AS node_id, min(b) AS component FROM hop GROUP BY 1)"
+_CC = f"{FLOW}, pair AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges UNION SELECT node_id, node_id FROM nodes), low0 AS (SELECT node_id AS a, node_id AS low FROM nodes), " + ", ".join(
+    f"low{k + 1} AS MATERIALIZED (SELECT p.a, min(l.low) AS low FROM pair p JOIN low{k} l ON p.b = l.a GROUP BY p.a)" for k in range(12)
+)  # more rounds than any component is wide
+_CC += ", comp AS (SELECT a AS node_id, low AS component FROM low12)"
 on_graph("connected_components", "SELECT c.component, count(*) AS size, string_agg(l.name, ',' ORDER BY l.name) AS members FROM comp c JOIN loc l ON c.node_id = l.node_id WHERE l.file_id IS NOT NULL GROUP BY 1", ctes=_CC)(centrality.find_subgraphs)
 on_graph("orphans", "SELECT min(l.name) AS name FROM comp c JOIN loc l ON c.node_id = l.node_id WHERE l.file_id IS NOT NULL GROUP BY c.component HAVING count(*) = 1", ctes=_CC)(centrality.orphans)
 _LCC = "und AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edges WHERE source_id <> target_id), nb AS (SELECT a AS v, b AS w FROM und UNION ALL SELECT b, a FROM und), deg AS (SELECT v, count(*) AS d FROM nb GROUP BY v), tri AS (SELECT x.v, count(*) AS t FROM nb x JOIN nb y ON x.v = y.v AND x.w < y.w JOIN und u ON u.a = x.w AND u.b = y.w GROUP BY x.v), lcc AS (SELECT deg.v AS node_id, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0::DOUBLE END AS lcc FROM deg LEFT JOIN tri ON deg.v = tri.v)"
@@ -283,12 +286,12 @@ on_graph("name_collisions", "SELECT name, repos, n_repos FROM col", ctes=f"{FLOW
 
 # --- maintenance
 def _wanted(g: Graph) -> DataFrame:
-    return g.nodes.filter("node_id % 3 = 0").select(F.col("node_id").alias("key"), "name", F.when(F.col("node_id") % 2 == 0, "table").otherwise("query").alias("kind"), (F.col("node_id") % 5).alias("repo_id"), F.lit(None).cast("string").alias("schema"))
+    return g.nodes.select(F.col("node_id").alias("key"), "name", F.when(F.col("node_id") % 2 == 0, "table").otherwise("query").alias("kind"), (F.col("node_id") % 5).alias("repo_id"), F.lit(None).cast("string").alias("schema"))
 
 
 on_graph(
     "resolve_node_ranked",
-    f"SELECT key, node_id, step FROM (SELECT w.key, l.node_id, CASE WHEN l.repo_id = w.repo_id AND l.kind = w.kind THEN 1 WHEN l.kind = w.kind THEN 2 WHEN l.repo_id = w.repo_id THEN 3 ELSE 4 END AS step, row_number() OVER (PARTITION BY w.key ORDER BY CASE WHEN l.repo_id = w.repo_id AND l.kind = w.kind THEN 1 WHEN l.kind = w.kind THEN 2 WHEN l.repo_id = w.repo_id THEN 3 ELSE 4 END, {RANK.replace('kind WHEN', 'l.kind WHEN', 1)}, l.node_id) AS k FROM (SELECT node_id AS key, name, CASE WHEN node_id % 2 = 0 THEN 'table' ELSE 'query' END AS kind, node_id % 5 AS repo_id FROM nodes WHERE node_id % 3 = 0) w JOIN loc l ON w.name = l.name WHERE l.kind = w.kind OR l.file_id IS NOT NULL) WHERE k = 1",
+    f"SELECT key, node_id, step FROM (SELECT w.key, l.node_id, CASE WHEN l.repo_id = w.repo_id AND l.kind = w.kind THEN 1 WHEN l.kind = w.kind THEN 2 WHEN l.repo_id = w.repo_id THEN 3 ELSE 4 END AS step, row_number() OVER (PARTITION BY w.key ORDER BY CASE WHEN l.repo_id = w.repo_id AND l.kind = w.kind THEN 1 WHEN l.kind = w.kind THEN 2 WHEN l.repo_id = w.repo_id THEN 3 ELSE 4 END, {RANK.replace('kind WHEN', 'l.kind WHEN', 1)}, l.node_id) AS k FROM (SELECT node_id AS key, name, CASE WHEN node_id % 2 = 0 THEN 'table' ELSE 'query' END AS kind, node_id % 5 AS repo_id FROM nodes) w JOIN loc l ON w.name = l.name WHERE l.kind = w.kind OR l.file_id IS NOT NULL) WHERE k = 1",
 )(lambda g: maintenance.resolve_nodes(g, _wanted(g)))
 _PH = "mv AS (SELECT p.node_id AS old, min(r.node_id) AS new FROM nodes p JOIN nodes r ON p.name = r.name AND p.kind = r.kind WHERE p.file_id IS NULL AND r.file_id IS NOT NULL GROUP BY 1), ne AS (SELECT coalesce(a.new, e.source_id) AS source_id, coalesce(b.new, e.target_id) AS target_id, e.relationship FROM edges e LEFT JOIN mv a ON e.source_id = a.old LEFT JOIN mv b ON e.target_id = b.old), nn AS (SELECT n.node_id, n.file_id IS NULL AS phantom FROM nodes n WHERE n.node_id NOT IN (SELECT old FROM mv) AND (n.file_id IS NOT NULL OR n.node_id IN (SELECT source_id FROM ne UNION SELECT target_id FROM ne)))"
 on_graph("phantom_cleanup_nodes", "SELECT node_id, phantom FROM nn", ctes=f"{FLOW}, {_PH}")(lambda g: maintenance.cleanup_phantoms(g).nodes.select("node_id", F.col("file_id").isNull().alias("phantom")))

@@ -21,13 +21,13 @@ PARTS: dict[str, str] = {
     CASE CAST(p_partkey AS BIGINT) % 7 WHEN 0 THEN 'cte' WHEN 1 THEN 'view' WHEN 2 THEN 'query' ELSE 'table' END,
     concat('p', CAST(CAST(p_partkey AS BIGINT) % 400 AS VARCHAR(20))) FROM part""",
     "edges": """SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS source_id, 1000000 + CAST(l_partkey AS BIGINT) AS target_id,
-    CASE CAST(l_linenumber AS BIGINT) WHEN 1 THEN 'defines' WHEN 2 THEN 'inserts_into' WHEN 3 THEN 'cte_references'
-      ELSE 'references' END AS relationship,
+    CASE WHEN l_linenumber = 1 AND CAST(l_partkey AS BIGINT) % 20 = CAST(l_suppkey AS BIGINT) % 20 THEN 'defines' WHEN l_linenumber = 2 THEN 'inserts_into'
+      WHEN l_linenumber = 3 THEN 'cte_references' ELSE 'references' END AS relationship,
     CASE CAST(l_linenumber AS BIGINT) WHEN 2 THEN 'INSERT INTO' WHEN 4 THEN 'JOIN clause' ELSE 'FROM clause' END AS context
-  FROM lineitem WHERE CAST(l_partkey AS BIGINT) % 40 = 3
+  FROM lineitem
   UNION
-  SELECT 1000000 + CAST(p_partkey AS BIGINT), 1000000 + (CAST(p_partkey AS BIGINT) * 7 + 11) % 200, 'references', 'FROM clause'
-  FROM part WHERE CAST(p_partkey AS BIGINT) % 3 = 0 OR p_partkey < 200""",
+  SELECT 1000000 + CAST(p_partkey AS BIGINT), 1000001 + (CAST(p_partkey AS BIGINT) * 7 + 11) % 200, 'references', 'FROM clause'
+  FROM part""",
     "column_usage": """SELECT CAST(l_suppkey AS BIGINT) AS node_id, CAST(s_nationkey AS BIGINT) AS file_id,
     concat('p', CAST(CAST(l_partkey AS BIGINT) % 400 AS VARCHAR(20))) AS table_name,
     concat('c', CAST(CAST(l_linenumber AS BIGINT) AS VARCHAR(20))) AS column_name,
