@@ -12,6 +12,10 @@ from quarrygraph.functions.predicates import dataflow, noise
 from quarrygraph.graph import Graph
 
 
+#: Fixed value.
+SCHEMA_VERSION = "1.0"
+
+
 def _page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
@@ -152,6 +156,57 @@ def context_keys(g: Graph, name: str, repo: str | None = None) -> DataFrame:
     return used.select(role.alias("role"), "column_name").filter("role IS NOT NULL").distinct()
 
 
+def model_of_file(g: Graph, repo: str, path: str) -> DataFrame:
+    """The first table or view of a stored file, by kind and name."""
+    at = g.located().filter((F.col("repo") == repo) & (F.col("path") == path) & F.col("kind").isin("table", "view"))
+    return at.select("node_id", "name", "kind").orderBy("kind", "name", "node_id").limit(1)
+
+
+def get_context(g: Graph, name: str, repo: str | None = None, files: DataFrame | None = None, rank: bool = False) -> DataFrame:
+    """One row about a model: model, columns, upstream, downstream, most_used_columns, join_keys, aggregations,
+    downstream_count, the first 30 lines of its file where ``files`` (repo, path, text) are given, and its
+    PageRank where ``rank`` is asked for. No row: there is no such node. Each part is of one model or a page."""
+    node = pick_node(g, name, repo)
+    model = node.select(F.struct("node_id", "name", "kind", "schema", "repo", "path").alias("model"), "node_id", F.col("repo").alias("of_repo"), F.col("path").alias("of_path"))
+    columns = schema_columns(g, name, repo).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name", "data_type", "description"))), lambda c: F.struct(c["column_name"].alias("column_name"), c["data_type"].alias("data_type"), c["position"].alias("position"), c["description"].alias("description"))).alias("columns"))
+    near = schema_neighbours(g, name, repo)
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("name", "kind")))).alias(s)
+    near = near.agg(side("upstream"), side("downstream"))
+    used = context_top_columns(g, name, repo).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("minus"), "column_name"))), lambda c: c["column_name"]).alias("most_used_columns"))
+    role = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("column_name"))))
+    keys = context_keys(g, name, repo).agg(role("join").alias("join_keys"), role("group").alias("aggregations"))
+    out = model
+    for part in (columns, near, used, keys):
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    out = out.withColumn("downstream_count", F.size("downstream"))
+    if files is not None:
+        head = files.select(F.col("repo").alias("of_repo"), F.col("path").alias("of_path"), F.when(F.octet_length("text") <= 1_000_000, F.array_join(F.slice(F.split("text", "\n", -1), 1, 30), "\n")).alias("snippet"))
+        out = out.join(head, ["of_repo", "of_path"], "left")
+    else:
+        out = out.withColumn("snippet", F.lit(None).cast("string"))
+    if rank:
+        from quarrygraph.operators.centrality import pagerank
+
+        out = out.join(pagerank(g).select("node_id", F.round("rank", 6).alias("importance")), "node_id", "left")
+    else:
+        out = out.withColumn("importance", F.lit(None).cast("double"))
+    return out.select("model", "columns", "upstream", "downstream", "most_used_columns", "join_keys", "aggregations", "downstream_count", "snippet", "importance")
+
+
+def index_status(g: Graph, report: DataFrame | None = None) -> DataFrame:
+    """One row: schema_version, repos, totals, state, and of the last reindex's ``report`` the number of files with
+    errors and the first 50 of them by repo and path."""
+    repos = status_repos(g).agg(F.array_sort(F.collect_list(F.struct("name", "repo_type", "files", "nodes"))).alias("repos"))
+    totals = status_totals(g)
+    out = repos.crossJoin(F.broadcast(totals.select(F.struct(*totals.columns).alias("totals")))).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    if report is None:
+        empty = F.array().cast("array<struct<repo:string,path:string,errors:string>>")
+        return out.withColumns({"state": F.lit("idle"), "parse_error_count": F.lit(0).cast("long"), "last_parse_errors": empty})
+    bad = report.filter("n_errors > 0").select("repo", "path", "errors")
+    first = bad.orderBy("repo", "path").limit(50).agg(F.array_sort(F.collect_list(F.struct("repo", "path", "errors"))).alias("last_parse_errors"))
+    return out.withColumn("state", F.lit("completed")).crossJoin(F.broadcast(bad.agg(F.count("*").alias("parse_error_count")))).crossJoin(F.broadcast(first))
+
+
 def search_by_tag(g: Graph, tag: str, repo: str | None = None, min_confidence: float | None = None) -> DataFrame:
     tags = g.semantic_tags.filter(F.col("tag_name") == tag)
     if min_confidence is not None:

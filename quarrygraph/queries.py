@@ -86,7 +86,12 @@ on_graph("trace_both", "SELECT direction, name, kind, depth, relationship, conte
 on_graph("search_substring", "SELECT node_id, name, kind, CAST(NULL AS VARCHAR) AS schema, CAST(NULL AS VARCHAR) AS language, repo, path, (SELECT count(*) FROM loc WHERE name ILIKE '%M1%') AS total_count FROM loc WHERE name ILIKE '%M1%' ORDER BY name, kind, node_id LIMIT 20")(
     lambda g: catalog.search(g, "M1")
 )
-on_graph("search_escaped", "SELECT node_id, name, kind, CAST(NULL AS VARCHAR) AS schema, CAST(NULL AS VARCHAR) AS language, repo, path, CAST(0 AS BIGINT) AS total_count FROM loc WHERE contains(lower(name), '%1_')")(lambda g: catalog.search(g, "%1_"))
+_ODD = "odd AS (SELECT node_id, CASE WHEN kind = 'view' THEN name || '%_X' ELSE name END AS name, kind, repo, path FROM loc)"
+on_graph(
+    "search_escaped",
+    "SELECT node_id, name, kind, CAST(NULL AS VARCHAR) AS schema, CAST(NULL AS VARCHAR) AS language, repo, path, (SELECT count(*) FROM odd WHERE contains(lower(name), '1%_')) AS total_count FROM odd WHERE contains(lower(name), '1%_') ORDER BY name, kind, node_id LIMIT 20",
+    ctes=f"{FLOW}, {_ODD}",
+)(lambda g: catalog.search(g.having(nodes=g.nodes.withColumn("name", F.when(F.col("kind") == "view", F.concat("name", F.lit("%_X"))).otherwise(F.col("name")))), "1%_"))
 on_graph(
     "search_kind_repo_page",
     "SELECT node_id, name, kind, CAST(NULL AS VARCHAR) AS schema, CAST(NULL AS VARCHAR) AS language, repo, path, (SELECT count(*) FROM loc WHERE contains(name, 'p1') AND kind = 'view' AND repo = 'asia') AS total_count FROM loc WHERE contains(name, 'p1') AND kind = 'view' AND repo = 'asia' ORDER BY name, kind, node_id LIMIT 10 OFFSET 5",
@@ -134,7 +139,7 @@ _PATH = f"""{FLOW}, walk AS (SELECT (SELECT min(node_id) FROM nodes WHERE name =
   UNION ALL SELECT d.target_id, list_append(w.path, d.tgt_name) FROM walk w JOIN (SELECT DISTINCT source_id, target_id, tgt_name FROM df) d ON d.source_id = w.id
     WHERE len(w.path) <= 5 AND NOT list_contains(w.path, d.tgt_name))"""
 _PATH_END = "SELECT array_to_string(path, ' -> ') AS path, CAST(len(path) - 1 AS INT) AS length FROM walk WHERE id = (SELECT min(node_id) FROM nodes WHERE name = '{b}') AND len(path) > 1 ORDER BY len(path), path LIMIT 1"
-on_graph("find_path", _PATH_END.format(b="p178"), ctes=_PATH.format(a="p0"))(lambda g: traversal.find_path(g, "p0", "p178", 5))
+on_graph("find_path", _PATH_END.format(b="p84"), ctes=_PATH.format(a="p0"))(lambda g: traversal.find_path(g, "p0", "p84", 5))
 on_graph("find_path_none", _PATH_END.format(b="m7"), ctes=_PATH.format(a="p43"))(lambda g: traversal.find_path(g, "p43", "m7", 5))
 
 
@@ -163,7 +168,10 @@ _CC = f"{FLOW}, pair AS (SELECT source_id AS a, target_id AS b FROM edges UNION
 )  # more rounds than any component is wide
 _CC += ", comp AS (SELECT a AS node_id, low AS component FROM low12)"
 on_graph("connected_components", "SELECT c.component, count(*) AS size, string_agg(l.name, ',' ORDER BY l.name) AS members FROM comp c JOIN loc l ON c.node_id = l.node_id WHERE l.file_id IS NOT NULL GROUP BY 1", ctes=_CC)(centrality.find_subgraphs)
-on_graph("orphans", "SELECT min(l.name) AS name FROM comp c JOIN loc l ON c.node_id = l.node_id WHERE l.file_id IS NOT NULL GROUP BY c.component HAVING count(*) = 1", ctes=_CC)(centrality.orphans)
+_DEFS = _CC.replace("target_id AS b FROM edges", "target_id AS b FROM edges WHERE relationship = 'defines'").replace("target_id, source_id FROM edges", "target_id, source_id FROM edges WHERE relationship = 'defines'")
+on_graph("orphans", "SELECT min(l.name) AS name FROM comp c JOIN loc l ON c.node_id = l.node_id WHERE l.file_id IS NOT NULL GROUP BY c.component HAVING count(*) = 1", ctes=_DEFS)(
+    lambda g: centrality.orphans(g.having(edges=g.edges.filter("relationship = 'defines'")))  # nodes that no definition links to others
+)
 _LCC = "und AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edges WHERE source_id <> target_id), nb AS (SELECT a AS v, b AS w FROM und UNION ALL SELECT b, a FROM und), deg AS (SELECT v, count(*) AS d FROM nb GROUP BY v), tri AS (SELECT x.v, count(*) AS t FROM nb x JOIN nb y ON x.v = y.v AND x.w < y.w JOIN und u ON u.a = x.w AND u.b = y.w GROUP BY x.v), lcc AS (SELECT deg.v AS node_id, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0::DOUBLE END AS lcc FROM deg LEFT JOIN tri ON deg.v = tri.v)"
 on_graph("local_clustering", "SELECT node_id, lcc FROM lcc", ctes=f"{FLOW}, {_LCC}")(centrality.local_clustering)
 _BOTTLE = "SELECT l.node_id, l.name, l.kind, l.repo, i.n AS downstream, coalesce(o.n, 0) AS upstream, round(c.lcc, 4) AS clustering, CASE WHEN i.n > 20 AND (c.lcc IS NULL OR c.lcc < 0.1) THEN 'high' WHEN i.n > 10 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT target_id, count(DISTINCT source_id) AS n FROM df GROUP BY 1 HAVING count(DISTINCT source_id) >= 5) i JOIN loc l ON i.target_id = l.node_id AND l.file_id IS NOT NULL LEFT JOIN (SELECT source_id, count(DISTINCT target_id) AS n FROM df GROUP BY 1) o ON o.source_id = l.node_id LEFT JOIN lcc c ON c.node_id = l.node_id"

@@ -103,15 +103,21 @@ def merge_documented(inferred: DataFrame, documented: DataFrame) -> DataFrame:
     return rows.select("model", "column_name", "data_type", (F.row_number().over(order) - 1).cast("long").alias("position"), "source", "description")
 
 
-def compiled_models(files: DataFrame) -> DataFrame:
-    """Compiled model queries (repo, path, text) as CREATE statements of the model in its folder's schema."""
+def compiled_models(files: DataFrame, deepest: bool = False) -> DataFrame:
+    """Compiled model queries (repo, path, text) as CREATE statements of the model in its folder's schema; with
+    ``deepest`` the schema is the last folder alone."""
     parts = F.split(F.regexp_replace("path", r"\.sql$", ""), "/")
-    folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    folder = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("") if deepest else F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     name = F.when(folder != "", F.concat(F.lit('"'), folder, F.lit('"."'), F.element_at(parts, -1), F.lit('"'))).otherwise(F.concat(F.lit('"'), F.element_at(parts, -1), F.lit('"')))
     body = F.regexp_replace("text", r";\s*$", "")
     return files.withColumn("text", F.concat(F.lit("CREATE TABLE "), name, F.lit(" AS\n"), body))
 
 
+def model_path(name) -> F.Column:
+    """A dotted model name, parts quoted or not, as a path."""
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r'("[^"]*"|`[^`]*`|[^.]+)'), 1), lambda x: F.regexp_replace(x, r'^["`]|["`]$', "")), "/")
+
+
 def rendered_models(spark: SparkSession, path: str) -> DataFrame:
     """(model_name, rendered_sql, column_schemas) from JSON lines or arrays of rendered models."""
     return spark.read.schema("name string, sql string, columns map<string,string>").option("multiLine", "true").json(path).select(F.col("name").alias("model_name"), F.col("sql").alias("rendered_sql"), F.to_json("columns").alias("column_schemas"))

@@ -10,13 +10,34 @@ SUFFIXES = (".sql", ".ddl", ".hql")
 SKIPPED = ("node_modules", "__pycache__", "venv", "target", "build")
 
 
+def file_stem(path) -> F.Column:
+    """Name of a file without folder and suffix."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def file_paths_by_stem(files: DataFrame, stems: DataFrame) -> DataFrame:
+    """(repo_id, stem, path) of stored SQL files of those stems (repo_id, stem), in whatever folder."""
+    named = files.filter(F.col("path").endswith(".sql")).select("repo_id", "path", file_stem("path").alias("stem"))
+    return named.join(stems.select("repo_id", "stem").distinct(), ["repo_id", "stem"]).select("repo_id", "stem", "path")
+
+
+def source_fingerprint(files: DataFrame) -> str:
+    """One hash of the names and checksums (path, checksum) of a project's sources, in any order."""
+    row = files.select(F.sha2(F.concat_ws(":", "path", "checksum"), 256).alias("h")).agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring("h", k, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 13, 25)]).first()
+    return ":".join(str(x or 0) for x in row)
+
+
+def is_sql(path) -> F.Column:
+    low = F.lower(path)
+    return low.endswith(SUFFIXES[0]) | low.endswith(SUFFIXES[1]) | low.endswith(SUFFIXES[2])
+
+
 def scannable(path) -> F.Column:
     """Relative paths of SQL files outside hidden and generated folders."""
     parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     bad = F.exists(dirs, lambda d: d.startswith(".") | d.isin(*SKIPPED))
-    low = F.lower(path)
-    return ~bad & (low.endswith(SUFFIXES[0]) | low.endswith(SUFFIXES[1]) | low.endswith(SUFFIXES[2]))
+    return ~bad & is_sql(path)
 
 
 def scan_repo(spark: SparkSession, repo: str, root: str) -> DataFrame:
