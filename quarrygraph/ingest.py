@@ -233,6 +233,10 @@ def insert_parsed(g: Graph, parsed: DataFrame) -> tuple[Graph, DataFrame]:
     local = ends.join(mine.withColumnRenamed("schema", "own_schema"), ["file_id", "name", "kind"])
     fit = F.when(F.col("own_schema").eqNullSafe(F.col("schema")), 0).when(F.col("own_schema").isNull(), 1)
     local = local.withColumn("fit", fit).filter("fit IS NOT NULL").groupBy("key").agg(F.min_by("node_id", F.struct("fit", "node_id")).alias("node_id"))
+    # The file's own query that defines a model of the same name is that model.
+    queries = ends.filter("kind = 'query'").join(local, "key", "left_anti").select("key", "file_id", "name")
+    made_here = queries.join(mine.filter("kind IN ('table', 'view')").select("file_id", "name", "node_id"), ["file_id", "name"]).groupBy("key").agg(F.min("node_id").alias("node_id"))
+    local = local.unionByName(made_here)
     far = ends.join(local, "key", "left_anti")
     found = resolve_nodes(g, far.select("key", "name", "kind", "repo_id", "schema")).select("key", "node_id")
     lost = far.join(found, "key", "left_anti")

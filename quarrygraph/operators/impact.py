@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.predicates import dataflow, noise
 from quarrygraph.graph import Graph
+from quarrygraph.runtime import materialise
 from quarrygraph.operators.traversal import _name_edges, reach, trace
 from quarrygraph.schema import BREAKING, WARNING
 
@@ -103,7 +104,7 @@ def pr_impact(base: Graph, head: Graph, depth: int = 3, mode: str = "delta", lim
     roots = changed_names(base, head, limit).select(F.col("name").alias("root"))
 
     def walk(exclude: DataFrame | None) -> DataFrame:
-        edges = _name_edges(head, "downstream", exclude)
+        edges = materialise(_name_edges(head, "downstream", exclude), "name-edges")
         first = edges.filter(~F.col("here_kind").isin("cte", "subquery")).join(roots, edges["here"] == roots["root"]).select("root", F.col("hop").alias("name"), "relationship", "context")
         return reach(edges, first, depth).select("name").distinct()
 

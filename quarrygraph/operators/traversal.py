@@ -72,7 +72,7 @@ def trace(g: Graph, name: str, kind: str | None = None, direction: str = "downst
     if direction == "both":
         return trace(g, name, kind, "downstream", max_depth, limit, exclude).unionByName(trace(g, name, kind, "upstream", max_depth, limit, exclude))
     depth = max(1, min(max_depth, 10))
-    edges = _name_edges(g, direction, exclude)
+    edges = materialise(_name_edges(g, direction, exclude), "name-edges")  # every level joins them
     kinds = start_nodes(g, name, kind).select(F.col("kind").alias("here_kind")).distinct()
     first = edges.filter(F.col("here") == name).join(F.broadcast(kinds), "here_kind", "left_semi")  # a few kinds
     found = reach(edges, first.select(F.col("here").alias("root"), F.col("hop").alias("name"), "relationship", "context"), depth)
@@ -122,6 +122,21 @@ def find_path(g: Graph, source: str, target: str, max_hops: int = 5) -> DataFram
     return hit.select(F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("length")).orderBy("path").limit(1)
 
 
+def _on_cycles(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """Without edges that no cycle can hold: again and again those go whose source nothing leads to or whose target
+    leads nowhere, until none is left or ``rounds`` are over (then some may stay, which cost only time)."""
+    edges = materialise(edges, "cycle-edges")
+    left = edges.count()
+    for _ in range(rounds):
+        into, out = edges.select(F.col("target_id").alias("source_id")).distinct(), edges.select(F.col("source_id").alias("target_id")).distinct()
+        edges = materialise(edges.join(into, "source_id", "left_semi").join(out, "target_id", "left_semi").select("source_id", "target_id"), "cycle-edges")
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    return edges
+
+
 def detect_cycles(g: Graph, repo: str | None = None, max_length: int = 10, limit: int | None = None) -> DataFrame:
     """(length, path) of each simple cycle of 2 to ``max_length`` edges of any relationship, once.
 
@@ -133,6 +148,7 @@ def detect_cycles(g: Graph, repo: str | None = None, max_length: int = 10, limit
         inside = g.located().filter(F.col("repo") == repo).select("node_id")
         edges_in = edges.join(inside, edges["source_id"] == inside["node_id"], "left_semi")
         edges = edges_in.join(inside, edges_in["target_id"] == inside["node_id"], "left_semi")
+    edges = _on_cycles(edges)
     paths = edges.filter("target_id > source_id").select(F.col("source_id").alias("start"), F.col("target_id").alias("at"), F.array("source_id", "target_id").alias("nodes"))
     found = None
     for length in range(2, max_length + 1):
