@@ -35,7 +35,7 @@ from quarrygraph.llm.common import fresh, gather, give_back, persist, small_batc
 
 LENGTH, K = 50, 20
 _NULL_ID = np.iinfo(np.int64).max
-_FLUSH = 1_000_000
+_FLUSH = 600_000
 _BLOCK = 1 << 19
 _SHARD = 1 << 18
 _MERGE = 3 << 20
