@@ -67,6 +67,10 @@ def test_command_line(spark, tmp_path, capsys):
     build(spark, CHAIN, [(0, 1), (1, 2), (2, 3)]).save(store)
     cli.main(["--store", store, "trace", "raw.orders", "--max-depth", "2"])
     assert {json.loads(x)["name"] for x in capsys.readouterr().out.splitlines() if x.startswith("{")} == {"staging.orders", "int_payments"}
+    cli.main(["--store", store, "context", "staging.orders"])
+    assert json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][0])["model"]["name"] == "staging.orders"
+    cli.main(["--store", store, "status"])
+    assert json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][0])["schema_version"] == "1.0"
     (tmp_path / "quarrygraph.yml").write_text("repos: {a: /x}\n")
     assert cli.find_config(folder=str(tmp_path)) == {"repos": {"a": "/x"}}
 
