@@ -106,7 +106,7 @@ _USE = "used AS (SELECT u.*, n.name AS node_name, n.kind AS node_kind, f.path, r
 on_graph("column_usage_page", "SELECT table_name, column_name, usage_type, node_id, node_name, node_kind, repo, path, CAST(NULL AS VARCHAR) AS alias, transform, (SELECT count(*) FROM used) AS total_count FROM page", ctes=f"{FLOW}, {_USE}")(lambda g: catalog.find_column_usage(g, "p43"))
 on_graph("column_usage_summary", "SELECT usage_type, count(*) AS n FROM page GROUP BY usage_type", ctes=f"{FLOW}, {_USE}")(lambda g: catalog.column_usage_summary(catalog.find_column_usage(g, "p43")))
 on_graph("column_usage_filtered", "SELECT table_name, column_name, usage_type, node_id, node_name, node_kind, repo, path, CAST(NULL AS VARCHAR) AS alias, transform, (SELECT count(*) FROM used WHERE column_name = 'c1' AND usage_type = 'select' AND repo = 'asia') AS total_count FROM used WHERE column_name = 'c1' AND usage_type = 'select' AND repo = 'asia'", ctes=f"{FLOW}, {_USE.replace('p43', 'p3')}")(
-    lambda g: catalog.find_column_usage(g, "p3", "c1", "select", "asia")
+    lambda g: catalog.find_column_usage(g, "p3", "c1", "select", "asia", limit=None)
 )
 _HOPS = "SELECT l.output_node, l.output_column, l.chain_index, l.hop_index, l.hop_column, l.hop_table, CAST(NULL AS VARCHAR) AS hop_expression FROM column_lineage l JOIN chains c ON l.output_node = c.output_node AND l.output_column = c.output_column AND l.chain_index = c.chain_index"
 _CHAINS = "chains AS (SELECT DISTINCT output_node, output_column, chain_index FROM column_lineage WHERE {w} ORDER BY 1, 2, 3 LIMIT {n} OFFSET {o})"

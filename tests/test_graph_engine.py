@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from quarrygraph import queries as registered
 from quarrygraph.graph import Graph
 from quarrygraph.operators import catalog, centrality, conventions, impact, maintenance, similarity, traversal
 
@@ -293,6 +294,16 @@ def test_search_takes_wildcards_literally(spark):
     assert names(catalog.search(g, "GON")) == {"gone"}
 
 
+def test_filtered_usage_is_no_page(spark, monkeypatch):
+    use = spark.createDataFrame([(k + 1, 1, "p3", "c1", "select") for k in range(130)], "node_id bigint, file_id bigint, table_name string, column_name string, usage_type string")
+    repos = [(1, "asia"), (2, "b")]
+    g = build(spark, [f"m{k}" for k in range(130)], [], repos=repos, column_usage=use)
+    monkeypatch.setattr(registered, "derived", lambda *_: g)
+    got = registered.QUERIES["column_usage_filtered"](spark, "").collect()
+    assert len({r["node_id"] for r in got}) == 130 and {r["total_count"] for r in got} == {130}
+    assert [r["node_id"] for r in catalog.find_column_usage(g, "p3", limit=None, offset=128).collect()] == [129, 130]
+
+
 def test_snippets(spark):
     files = spark.createDataFrame([("r", "f.sql", "\n".join(f"l{k}" for k in range(1, 9)))], "repo string, path string, text string")
     spans = spark.createDataFrame([("r", "f.sql", 4, 5)], "repo string, path string, line_start bigint, line_end bigint")
