@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -58,6 +59,22 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries of the session that end inside lose their shuffle files at once, else these stay until the driver
+    happens to collect its garbage. Only for queries that write their result, such as ``persist``."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def spread_join(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, by: Column, how: str = "inner", least: int = 10_000, ways: int = 64) -> DataFrame:
     """``left`` with its row of ``right`` (one a key), where rows of a key that very many share are dealt to ``ways`` tasks.
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,28 @@ def test_suffix_dedup_across_blocks(spark):
     assert spans(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
 
 
+def shuffle_bytes(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(f.stat().st_size for top in disk.localDirs() for f in Path(top.getPath()).rglob("shuffle_*.data"))
+
+
+def test_suffix_dedup_drops_the_shuffle_of_its_anchors(spark):
+    """Whether or not the driver collects its garbage; the session's setting stays as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs = spark.createDataFrame([(k, prose(3000 + k, 400)) for k in range(60)], "doc_id bigint, text string")
+    before = shuffle_bytes(spark)
+    for value in (None, "false"):
+        if value:
+            spark.conf.set(name, value)
+        kept = op5_suffixes.repeated_spans(docs)  # its files stay while it is referenced
+        until = time.time() + 5
+        while (left := shuffle_bytes(spark) - before) > 20_000 and time.time() < until:
+            time.sleep(0.1)
+        assert left <= 20_000, kept[1:]
+        assert spark.conf.get(name, None) == value
+    spark.conf.unset(name)
+
+
 def contexts_of(texts):
     """Arguments of ``repeated_places``: the contexts of all anchors of some documents."""
     data, sizes, left, docs, at = [], [], [], [], []
